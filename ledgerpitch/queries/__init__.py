@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features
+from ledgerpitch.queries import features, states
 
-MODULES = (features,)
+MODULES = (features, states)
 
 
 def all_queries() -> dict:
