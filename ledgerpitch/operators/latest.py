@@ -129,23 +129,36 @@ def pending_rows(
     season_of = F.split_part("season", F.lit("/"), F.lit(1)).cast("int")
     pending = mappings.filter(F.col("status") == "pending").withColumn("season_start", season_of)
     listed = players.select("season", "fantacalcio_id", "name", "team")
-    stats = season_stats.select(
-        "api_player_id",
-        "season_start",
-        F.col("player_name").alias("stats_name"),
-        F.col("team_name").alias("stats_team"),
-        "minutes",
+    # The best pair is the best statistics row with the best squad row, so each side is reduced
+    # before the join and pairs are never spelled out.
+    links = ["api_player_id", "season_start"]
+    stats = first_rows(
+        season_stats.select(
+            *links,
+            F.col("player_name").alias("stats_name"),
+            F.col("team_name").alias("stats_team"),
+            "minutes",
+        ),
+        links,
+        [
+            F.col("minutes").desc_nulls_last(),
+            F.col("stats_team").asc_nulls_last(),
+            F.col("stats_name").asc_nulls_last(),
+        ],
     )
-    squad = squads.select(
-        "api_player_id",
-        "season_start",
-        F.col("player_name").alias("squad_name"),
-        F.col("team_name").alias("squad_team"),
+    squad = first_rows(
+        squads.select(
+            *links,
+            F.col("player_name").alias("squad_name"),
+            F.col("team_name").alias("squad_team"),
+        ),
+        links,
+        [F.col("squad_team").asc_nulls_last(), F.col("squad_name").asc_nulls_last()],
     )
     joined = (
         pending.join(listed, ["season", "fantacalcio_id"])
-        .join(stats, ["api_player_id", "season_start"], "left")
-        .join(squad, ["api_player_id", "season_start"], "left")
+        .join(stats, links, "left")
+        .join(squad, links, "left")
     )
     best = first_rows(
         joined,
@@ -154,7 +167,6 @@ def pending_rows(
             F.col("minutes").desc_nulls_last(),
             F.col("squad_team").asc_nulls_last(),
             F.col("api_player_id").asc(),
-            F.col("stats_team").asc_nulls_last(),
         ],
     )
     return best.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features, states
+from ledgerpitch.queries import features, money, states
 
-MODULES = (features, states)
+MODULES = (features, states, money)
 
 
 def all_queries() -> dict:
