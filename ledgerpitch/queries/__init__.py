@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features, money, states
+from ledgerpitch.queries import features, money, states, values
 
-MODULES = (features, states, money)
+MODULES = (features, states, money, values)
 
 
 def all_queries() -> dict:
