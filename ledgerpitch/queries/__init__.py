@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features, money, states, values
+from ledgerpitch.queries import features, links, money, states, values
 
-MODULES = (features, states, money, values)
+MODULES = (features, states, money, values, links)
 
 
 def all_queries() -> dict:
