@@ -17,15 +17,26 @@ def last_per_key(rows: DataFrame, keys: Sequence[str], sequence: Sequence[str])
 
 
 def upsert(
-    old: DataFrame, new: DataFrame, keys: Sequence[str], sequence: Sequence[str]
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    sequence: Sequence[str],
+    keep_newest: bool = False,
 ) -> DataFrame:
     """New rows replace old ones with their key; the last new row of a key wins.
 
+    With ``keep_newest`` a stored row of a higher sequence stays, so deliveries may arrive in any
+    order.
+
     Only the batch is ranked. The stored rows are filtered by an anti join, which Spark turns into
     a broadcast when the batch is small, so a large table is not shuffled for a small batch.
     """
     batch = last_per_key(new, keys, sequence)
-    kept = old.join(batch.select(*keys), list(keys), "left_anti")
+    touched = batch.select(*keys)
+    kept = old.join(touched, list(keys), "left_anti")
+    if keep_newest:
+        stored = old.join(touched, list(keys), "left_semi")
+        batch = last_per_key(stored.unionByName(batch), keys, sequence)
     return kept.unionByName(batch)
 
 
@@ -127,6 +138,7 @@ def upsert_path(
     keys: Sequence[str],
     sequence: Sequence[str],
     partitions: Sequence[str],
+    keep_newest: bool = False,
 ) -> None:
     """Keyed upsert of a partitioned dataset; only partitions with new rows are rewritten."""
     if not set(partitions) <= set(keys):
@@ -134,7 +146,7 @@ def upsert_path(
     touched = new.select(*partitions).distinct()
     old = spark.read.parquet(path).join(touched, list(partitions), "left_semi")
     # The old files are read completely before their partitions are replaced.
-    merged = durable(upsert(old.select(*new.columns), new, keys, sequence))
+    merged = durable(upsert(old.select(*new.columns), new, keys, sequence, keep_newest))
     write_partitions(merged, path, partitions)
 
 

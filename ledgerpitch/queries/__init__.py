@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features, links, money, states, values
+from ledgerpitch.queries import features, links, money, states, storage, values
 
-MODULES = (features, states, money, values, links)
+MODULES = (features, states, money, values, links, storage)
 
 
 def all_queries() -> dict:

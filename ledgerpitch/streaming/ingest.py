@@ -36,14 +36,16 @@ def ingest_available(
     """Read the files that arrived since the last run and upsert them, then stop.
 
     Every batch rewrites only the partitions it touches. A batch that is repeated after a failure
-    gives the same rows, because the upsert is keyed.
+    or arrives late gives the same rows, because the upsert is keyed and keeps the newest row.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         if _exists(batch.sparkSession, target):
-            upsert_path(batch.sparkSession, target, batch, keys, sequence, partitions)
+            upsert_path(
+                batch.sparkSession, target, batch, keys, sequence, partitions, keep_newest=True
+            )
         else:
             write_partitions(last_per_key(batch, keys, sequence), target, partitions)
         ledger = batch.agg(
