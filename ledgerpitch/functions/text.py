@@ -73,17 +73,33 @@ def _plain_spellings() -> tuple[dict[str, str], dict[str, str]]:
 ONE_LETTER, SEVERAL_LETTERS = _plain_spellings()
 
 
+def _covering_ranges(letters: Mapping[str, str], gap: int = 64) -> str:
+    """A short character class that covers all letters; it may cover others in between."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
+
+
+MAYBE_SEVERAL = _covering_ranges(SEVERAL_LETTERS)
+
+
 def normalize_name(value: Column) -> Column:
     """Lower case ASCII words separated by single blanks.
 
     Combining marks go, accented letters lose their accent, the special letters get their plain
     spelling and every other run of characters becomes one blank.
     """
-    table = F.create_map(*[F.lit(item) for pair in SEVERAL_LETTERS.items() for item in pair])
+    # One literal that folds to a map keeps the expression small for the optimizer.
+    listed = ";".join(f"{letter}={text}" for letter, text in SEVERAL_LETTERS.items())
+    table = F.str_to_map(F.lit(listed), F.lit(";"), F.lit("="))
     spelled_out = F.array_join(
         F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
-    plain = F.when(value.rlike("[" + "".join(SEVERAL_LETTERS) + "]"), spelled_out).otherwise(value)
+    plain = F.when(value.rlike(MAYBE_SEVERAL), spelled_out).otherwise(value)
     plain = F.translate(plain, "".join(ONE_LETTER), "".join(ONE_LETTER.values()))
     plain = F.regexp_replace(plain, COMBINING_MARKS, "")
     single = {letter: text for letter, text in SPECIAL_LETTERS.items() if len(text) == 1}
@@ -91,6 +107,8 @@ def normalize_name(value: Column) -> Column:
     for letter, spelling in SPECIAL_LETTERS.items():
         if len(spelling) > 1:
             plain = F.replace(plain, F.lit(letter), F.lit(spelling))
+    # Most names are plain ASCII already and skip all of that.
+    plain = F.when(value.rlike("[^\\x00-\\x7f]"), plain).otherwise(value)
     return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
 
 
