@@ -45,14 +45,21 @@ def attach(
     return left.join(renamed, condition, "left").drop(*[f"_r_{key}" for key in keys])
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Blocked:
+def with_blocks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    size_bound: DataFrame | None = None,
+) -> Blocked:
     """Number the blocks of keys above the row limit; other rows get block -1.
 
-    ``order`` must be a total order within a key, or ties fall in blocks at random.
+    ``order`` must be a total order within a key, or ties fall in blocks at random. Rows per key
+    are counted on ``size_bound`` if given, which must not have fewer rows of any key than ``df``.
     """
     spark = df.sparkSession
     limit = max_group_rows(spark)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    counted = df if size_bound is None else size_bound
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     found = sizes.agg(
         F.count("*").alias("keys"), F.sum(F.ceil(F.col("_n") / limit)).alias("pieces")
     ).first()
