@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, warc_zstd
+from ledgerpitch.llm import chat_format, token_counts, warc_zstd
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -19,6 +19,11 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.page_records(warc_zstd.read_archives(spark, folder))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one made of control strings, read from their formatted text."""
     probe = spark.createDataFrame(
@@ -31,6 +36,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_warc_zstd": op5_warc_zstd,
+    "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
 }
 
