@@ -6,12 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, token_counts, warc_zstd
+from ledgerpitch.llm import chat_format, packing, token_counts, warc_zstd
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, and what the archives say when they are read again."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -35,6 +40,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_zstd": op5_warc_zstd,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
