@@ -6,12 +6,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, packing, token_counts, warc_zstd
+from ledgerpitch.llm import chat_format, packing, token_counts, url_templates, warc_zstd
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
+#: The query's rules (fixed values).
+URL_RULES = (
+    url_templates.Rule("allow", "org/"),
+    url_templates.Rule("block", "example.org/es/"),
+    url_templates.Rule("block", "example.org/en/1"),
+    url_templates.Rule("allow", "com/fr/"),
+    url_templates.Rule("block", "com/de/"),
+)
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by its template."""
+    return url_templates.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -40,6 +55,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_url_templates": op3_url_templates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_zstd": op5_warc_zstd,
     "op6_token_counts": op6_token_counts,
