@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerpitch.llm.common import arrow_map, mb_partitions
+from ledgerpitch.llm.common import arrow_map, durable, mb_partitions
 
 FRAME_MAGIC = 0xFD2FB528
 #: The skippable frame that holds the dictionary, by the published Zstandard profile of WARC.
@@ -164,29 +164,39 @@ def pack_frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield writer.compress(record)
 
 
-def deduplicated(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, html, digest, refers_to); refers_to is null for a response.
+def deduplicated(pages: DataFrame, archives: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, digest, refers_to), dealt to ``archives`` partitions.
 
-    Of the rows with one payload of at least 100 bytes, those with the smallest id are responses.
-    A null id counts as larger than every other; rows that all lack an id are all responses, and so
-    are rows that repeat the smallest id. The smallest id per digest is a map-side combined sum.
+    Of the rows with one payload of at least 100 bytes, those with the smallest id are responses,
+    and their ``refers_to`` is null. A null id counts as larger than every other; rows that all
+    lack an id are all responses, and so are rows that repeat the smallest id. The smallest id per
+    digest is combined map-side and joined with (id, digest) only, so that a payload with very many
+    copies moves few bytes; payloads move once, by id, which no payload makes hot.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    ).withColumns({
+        "digest": F.sha2(F.col("html").cast("binary"), 256),
+        "key": F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("none"))),
+    })
+    large = rows.filter(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", "key", "digest")
     first = (
-        rows.filter(F.octet_length("html") >= MIN_REVISIT_BYTES)
-        .groupBy("digest")
+        large.groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .filter("copies > 1 and first_id is not null")
         .drop("copies")
     )
-    return rows.join(first, "digest", "left").select(
-        "page_id", "url", "html", "digest",
-        F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"),
-    )
+    revisits = (
+        large.join(first, "digest")
+        .filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+        .groupBy("key", "digest")
+        .agg(F.min("first_id").alias("refers_to"))
+    )
+    return rows.repartition(archives, "key", "digest").join(revisits, ["key", "digest"], "left").select(
+        "page_id", "url", "html", "digest", "refers_to"
+    )
 
 
 def write_archives(
@@ -202,11 +212,11 @@ def write_archives(
     A response carries the payload in UTF-8 (null: empty). A revisit carries none; it names the
     digest and the page it repeats. Extra columns are not written. An empty table writes no record.
     """
-    rows = deduplicated(pages, id_col, url_col, html_col)
     size = pages.agg(F.sum(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 0
-    # A revisit row need not carry its payload to the archive.
-    slim = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    dealt = slim.repartition(mb_partitions(pages.sparkSession, size, ARCHIVE_MB), F.xxhash64("page_id", "url", "digest"))
+    archives = mb_partitions(pages.sparkSession, size, ARCHIVE_MB)
+    rows = deduplicated(pages, archives, id_col, url_col, html_col)
+    # A revisit does not carry its payload on to the archive.
+    dealt = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 
     def one(page: int | None, url: str, html: str | None, digest: str, refers: int | None) -> bytes:
         headers = {
@@ -285,8 +295,10 @@ def page_records(records: DataFrame) -> DataFrame:
 
     A revisit takes its payload size from the response it refers to, found by page and digest.
     """
-    slim = records.select(
-        "page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").alias("own_bytes")
+    slim = durable(
+        records.select(
+            "page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").alias("own_bytes")
+        )
     )
     responses = (
         slim.filter("record_type = 'response' and page_id is not null")
