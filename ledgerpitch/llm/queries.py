@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, packing, token_counts, url_templates, warc_zstd
+from ledgerpitch.llm import chat_format, lsh_forest, packing, token_counts, url_templates, warc_zstd
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -54,12 +54,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_url_templates": op3_url_templates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_zstd": op5_warc_zstd,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op10_lsh_forest": op10_lsh_forest,
 }
 
 ORACLES: dict[str, str] = {}
