@@ -6,12 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, lsh_forest, packing, token_counts, url_templates, warc_zstd
+from ledgerpitch.llm import chat_format, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: The query's rules (fixed values).
 URL_RULES = (
     url_templates.Rule("allow", "org/"),
@@ -60,6 +65,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op3_url_templates": op3_url_templates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc_zstd": op5_warc_zstd,
