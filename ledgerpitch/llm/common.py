@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerpitch.session import durable, shared_dir
 
@@ -30,29 +32,28 @@ def free_name(taken: Sequence[str], wanted: str) -> str:
 
 
 def arrow_map(
-    df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str
+    df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType
 ) -> DataFrame:
     """mapInArrow over small batches; ``rows`` yields one dict of columns per output batch."""
     spark = df.sparkSession
     if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
-    arrow = _arrow_schema(spark, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[field.name], type=field.type) for field in arrow], schema=arrow
+                [_as_array(columns[field.name], field.type) for field in arrow], schema=arrow
             )
 
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def _as_array(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, type=kind)
 
 
 def mb_partitions(spark: SparkSession, total_bytes: int, mb: int = 64) -> int:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
+from ledgerpitch.llm import chat_format, decontaminate, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -59,6 +59,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the items."""
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_warc_zstd": op5_warc_zstd,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op9_decontamination": op9_decontamination,
     "op10_lsh_forest": op10_lsh_forest,
 }
 
