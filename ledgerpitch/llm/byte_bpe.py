@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from tokenizers import Tokenizer
 
 #: Chunks a worker remembers before it starts afresh; about 150 bytes each.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 _RUNS = re.compile(r"\s\s(?:\s|\Z)")
 
 
@@ -77,9 +77,9 @@ class Chunks:
         return out
 
     def _learn(self, lines: list[list[str]]) -> None:
-        starts = {c[0] for c in lines} - self.first.keys()
-        rest = set().union(*[c[1:] for c in lines]) - self.spaced.keys()
-        starts, rest = list(starts), list(rest)
+        first, spaced = self.first, self.spaced
+        starts = [c for c in {c[0] for c in lines} if c not in first]
+        rest = [c for c in set().union(*[c[1:] for c in lines]) if c not in spaced]
         values = self.measure([*starts, *[f" {chunk}" for chunk in rest]])
         for at, value in enumerate(values):
             if at < len(starts):

@@ -21,6 +21,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,8 @@ from ledgerpitch.plans.blocks import attach
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 CAPACITY = 1024
+#: Chunks a worker remembers with their ids; about 250 bytes each.
+CACHE_CHUNKS = 700_000
 END_ID = 2
 _RANK_BITS = 48
 
@@ -181,7 +184,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = byte_bpe.load(path)
-        self.chunks = byte_bpe.Chunks(byte_bpe.specials(self.tokenizer), self._encode)
+        self.chunks = byte_bpe.Chunks(byte_bpe.specials(self.tokenizer), self._encode, CACHE_CHUNKS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -193,6 +196,12 @@ class Encoder:
         return self._encode([text])[0]
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder per worker process, so that tasks share what earlier ones have learnt."""
+    return Encoder(path)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids; a shorter piece comes first."""
     head = n % capacity
@@ -218,7 +227,7 @@ def pieces(
     names = ("doc_id", "piece", "start", "length", "ids_crc32", "rank", "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, seen = Encoder(path), [0] * (capacity + 1)
+        encoder, seen = encoder_for(path), [0] * (capacity + 1)
         task = TaskContext.get().partitionId()
         for batch in batches:
             out = []

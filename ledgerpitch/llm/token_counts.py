@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ledgerpitch.llm import byte_bpe
 from ledgerpitch.llm.common import arrow_map
 
+#: Token pairs a worker remembers.
+PAIRS = 1_000_000
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Two-letter contractions of the pre-tokenizer (fixed values).
 _CUT = frozenset(("'re", "'ve", "'ll"))
@@ -35,7 +38,7 @@ _BLANKS = frozenset(
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 def byte_letters() -> list[str]:
@@ -52,46 +55,70 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.tokenizer = byte_bpe.load(path)
-        self.vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.longest = max(map(len, self.vocab))
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        letters = byte_letters()
+        if not all(letter in vocab for letter in letters):
+            raise ValueError("the vocabulary does not hold every byte")
+        #: True for tokens, False for what only begins some.
+        self.tokens = {token[:k]: False for token in vocab for k in range(1, len(token))} | dict.fromkeys(vocab, True)
         self.special = byte_bpe.specials(self.tokenizer)
         self.splitter = self.tokenizer.pre_tokenizer
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.letters = letters
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.chunks = byte_bpe.Chunks(self.special, lambda texts: [int(self.plain(t)[-1]) if t else 0 for t in texts])
+        self.chunks = byte_bpe.Chunks(self.special, lambda texts: [self._plain_total(t) for t in texts])
 
     def _compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = [t.value for t in self.model.tokenize(left + right)] == [left, right]
-            self.pairs[left, right] = known
-        return known
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 1
+            for row in self.pairs.values():
+                row.clear()
+        fits = [t.value for t in self.model.tokenize(left + right)] == [left, right] if left else True
+        self.pairs.setdefault(left, {})[right] = fits
+        return fits
 
     def _piece(self, piece: str) -> list[int]:
         """Counts of all prefixes of a pre-token in byte letters, by bytes, from the empty one on."""
-        last, counts = [""], [0]
-        vocab, longest, pairs = self.vocab, self.longest, self.pairs
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
+        n = len(piece)
+        last: list = [""] + [None] * n
+        counts = [0] * (n + 1)
+        tokens, pairs = self.tokens.get, self.pairs
+        for start in range(n):
+            left, count = last[start], counts[start] + 1
+            row = pairs.get(left)
+            if row is None:
+                row = pairs[left] = {}
+            for end in range(start + 1, n + 1):
                 token = piece[start:end]
-                if token in vocab and (
-                    not start or (pairs[last[start], token] if (last[start], token) in pairs else self._compatible(last[start], token))
-                ):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
+                whole = tokens(token)
+                if whole is None:
                     break
-            else:
-                raise ValueError("the vocabulary does not hold every byte")
+                if whole and last[end] is None:
+                    fits = row.get(token)
+                    if fits is None:
+                        fits = self._compatible(left, token)
+                    if fits:
+                        last[end], counts[end] = token, count
         return counts
 
     def _pieces(self, text: str) -> list[tuple[str, int, int]]:
         """Pre-tokens in byte letters, with the places of their characters."""
-        if _LETTERS.match(text):
-            return [("".join([self.letters[b] for b in text.encode()]), 0, len(text))]
+        if simple := _SIMPLE.match(text):
+            word, marks = simple.groups()
+            if not word.isascii():
+                word = "".join([self.letters[b] for b in word.encode()])
+            elif word[0] == " ":
+                word = self.letters[32] + word[1:]
+            at = simple.end(1)
+            return [(word, 0, at), (marks, at, len(text))] if marks else [(word, 0, at)]
         return [(piece, *span) for piece, span in self.splitter.pre_tokenize_str(text)]
 
+    def _plain_total(self, text: str) -> int:
+        return sum(self._piece(piece)[-1] for piece, _, _ in self._pieces(text)) if text else 0
+
     def _run(self, out: np.ndarray, run: str, start: int, before: int) -> None:
         counts = self._piece("".join([self.letters[b] for b in run.encode()]))
         ends = np.cumsum([len(c.encode()) for c in run])
@@ -139,6 +166,12 @@ class PrefixCounter:
         return int(self.counts(text)[-1])
 
 
+@lru_cache(maxsize=2)
+def counter_for(path: str) -> PrefixCounter:
+    """One counter per worker process, so that tasks share what earlier ones have learnt."""
+    return PrefixCounter(path)
+
+
 def deltas(counts: np.ndarray) -> bytes:
     return np.diff(counts).astype(np.int8).tobytes()
 
@@ -175,7 +208,7 @@ def token_counts(
     path = public_tokenizers.path(tokenizer_file)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counter = PrefixCounter(path)
+        counter = counter_for(path)
         for batch in batches:
             ids, sizes = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
             texts = (value.as_py() for value in batch.column("text"))
