@@ -6,12 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, decontaminate, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
+from ledgerpitch.llm import chat_format, crf_pii, decontaminate, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return crf_pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return weighted_sampling.fingerprints(table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_url_templates": op3_url_templates,
     "op4_best_fit_packing": op4_best_fit_packing,
