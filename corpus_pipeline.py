@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
+last return the columns of ``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerpitch.llm import crf_pii, decontaminate, language_id, lsh_forest, packing
 from ledgerpitch.llm.common import shared_dir, table
 
-STAGES: list = []
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified (operator 8)."""
+    return language_id.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (operator 10)."""
+    return lsh_forest.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark item (operator 9)."""
+    return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind (operator 1)."""
+    return crf_pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed into training sequences (operator 4)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_pii),
+    ("packing", pack),
+]
+
+#: No stage can be said in SQL; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -386,3 +386,20 @@ def near_duplicates(
             F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which each near-duplicate group keeps one.
+
+    The one with the least id stays. Of rows that repeat both id and text one stays; a row with a
+    null id always stays.
+    """
+    verdicts = durable(near_duplicates(docs, percent, id_col, text_col))
+    gone = verdicts.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    repeated = (
+        verdicts.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col)
+    )
+    stay = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    single = stay.join(repeated, id_col, "left_anti").select(*docs.columns)
+    again = stay.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    return single.unionByName(again)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, crf_pii, decontaminate, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
+from ledgerpitch.llm import chat_format, crf_pii, decontaminate, language_id, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -64,6 +64,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and whether it is certain enough to stay."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(language_id.document_evidence(docs, ["doc_id"]))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page from its text, markup, address and host."""
+    return language_id.identify(language_id.page_evidence(table(spark, sf_dir, "pages")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the items."""
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,6 +93,8 @@ QUERIES = {
     "op5_warc_zstd": op5_warc_zstd,
     "op6_token_counts": op6_token_counts,
     "op7_chat_format": op7_chat_format,
+    "op8_language_id": op8_language_id,
+    "page_languages": page_languages,
     "op9_decontamination": op9_decontamination,
     "op10_lsh_forest": op10_lsh_forest,
 }
