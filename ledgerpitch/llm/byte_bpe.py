@@ -18,6 +18,30 @@ CACHE_CHUNKS = 1_000_000
 _RUNS = re.compile(r"\s\s(?:\s|\Z)")
 
 
+#: A word of Latin letters, maybe behind a space, and ASCII marks behind it but for the apostrophe:
+#: two pre-tokens at most.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown}
+    hidden = (b for b in range(256) if b not in letters)
+    letters |= {b: chr(256 + at) for at, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
+
+
+LETTERS = byte_letters()
+
+
+def in_letters(piece: str) -> str:
+    """A pre-token as the vocabulary writes it."""
+    if not piece.isascii():
+        return "".join([LETTERS[b] for b in piece.encode()])
+    return LETTERS[32] + piece[1:] if piece[0] == " " else piece
+
+
 def load(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()

@@ -36,8 +36,8 @@ from ledgerpitch.plans.blocks import attach
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 CAPACITY = 1024
-#: Chunks a worker remembers with their ids; about 250 bytes each.
-CACHE_CHUNKS = 700_000
+#: Chunks and words a worker remembers with their ids; about 250 bytes each.
+CACHE_CHUNKS, CACHE_WORDS = 700_000, 200_000
 END_ID = 2
 _RANK_BITS = 48
 
@@ -184,16 +184,40 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = byte_bpe.load(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}
         self.chunks = byte_bpe.Chunks(byte_bpe.specials(self.tokenizer), self._encode, CACHE_CHUNKS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        """Ids of texts; simple words go to the BPE model alone, behind the steps that split texts."""
+        out: list = [None] * len(texts)
+        other: list[int] = []
+        for at, text in enumerate(texts):
+            simple = byte_bpe.SIMPLE.match(text)
+            if simple is None:
+                other.append(at)
+            elif simple[2]:
+                out[at] = self._word(simple[1]) + self._word(simple[2])
+            else:
+                out[at] = self._word(text)
+        found = self.tokenizer.encode_batch_fast([texts[at] for at in other], add_special_tokens=False)
+        for at, encoding in zip(other, found, strict=True):
+            out[at] = array("I", encoding.ids).tobytes()
+        return out
+
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            known = array("I", [token.id for token in self.tokenize(byte_bpe.in_letters(word))]).tobytes()
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = known
+        return known
 
     def ids(self, text: str) -> bytes:
         if self.chunks.can_cut(text):
             return b"".join(self.chunks.of(text))
-        return self._encode([text])[0]
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)

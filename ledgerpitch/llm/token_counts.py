@@ -38,16 +38,6 @@ _BLANKS = frozenset(
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-
-
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {b: chr(b) for b in shown}
-    hidden = (b for b in range(256) if b not in letters)
-    letters |= {b: chr(256 + at) for at, b in enumerate(hidden)}
-    return [letters[b] for b in range(256)]
 
 
 class PrefixCounter:
@@ -56,7 +46,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.tokenizer = byte_bpe.load(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        letters = byte_letters()
+        letters = byte_bpe.LETTERS
         if not all(letter in vocab for letter in letters):
             raise ValueError("the vocabulary does not hold every byte")
         #: True for tokens, False for what only begins some.
@@ -106,14 +96,11 @@ class PrefixCounter:
 
     def _pieces(self, text: str) -> list[tuple[str, int, int]]:
         """Pre-tokens in byte letters, with the places of their characters."""
-        if simple := _SIMPLE.match(text):
+        if simple := byte_bpe.SIMPLE.match(text):
             word, marks = simple.groups()
-            if not word.isascii():
-                word = "".join([self.letters[b] for b in word.encode()])
-            elif word[0] == " ":
-                word = self.letters[32] + word[1:]
             at = simple.end(1)
-            return [(word, 0, at), (marks, at, len(text))] if marks else [(word, 0, at)]
+            piece = byte_bpe.in_letters(word)
+            return [(piece, 0, at), (marks, at, len(text))] if marks else [(piece, 0, at)]
         return [(piece, *span) for piece, span in self.splitter.pre_tokenize_str(text)]
 
     def _plain_total(self, text: str) -> int:
