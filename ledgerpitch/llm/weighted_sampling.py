@@ -33,7 +33,13 @@ CACHE_ROWS = 150_000
 BLOCK_ROWS = 8192
 #: Id ranges for each partition; they are dealt by hash, so several even out.
 RANGES_EACH = 3
-_STREAMS = finish(np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STREAMS = finish(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MASK = np.uint64((1 << 23) - 1)
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """23-bit numbers as uniform numbers between 0 and 1, ends excluded."""
+    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
 class Sampler:
@@ -46,21 +52,26 @@ class Sampler:
         self.codes = np.empty((rows, samples), np.uint16)
         self.offsets = finish(np.arange(samples, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
 
-    def _uniform(self, words: np.ndarray, stream: int) -> np.ndarray:
-        bits = finish((words[:, None] ^ self.offsets[None, :]) + _STREAMS[stream])
-        return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-
     def draw(self, pairs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, code of (word, t)) for each pair and sample."""
+        """(ln a, code of (word, t)) for each pair and sample.
+
+        Two hashes give five uniform numbers: two of 23 bits each, and b from the 16 bits left.
+        """
         words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in pairs), np.uint64, len(pairs))
-        logs = np.log(np.fromiter((n for _, n in pairs), np.float64, len(pairs)))[:, None]
-        r = -np.log(self._uniform(words, 0) * self._uniform(words, 1))
-        c = -np.log(self._uniform(words, 2) * self._uniform(words, 3))
-        b = self._uniform(words, 4)
-        t = np.floor(logs / r + b)
+        weights = np.fromiter((n for _, n in pairs), np.float32, len(pairs))
+        mixed = words[:, None] ^ self.offsets[None, :]
+        one, two = finish(mixed + _STREAMS[0]), finish(mixed + _STREAMS[1])
+        r = -np.log(_unit(one >> np.uint64(41)) * _unit(one >> np.uint64(16) & _MASK))
+        c = -np.log(_unit(two >> np.uint64(41)) * _unit(two >> np.uint64(16) & _MASK))
+        b = (one & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+        t = np.zeros_like(r)
+        heavy = np.flatnonzero(weights > 1)
+        if len(heavy):
+            # At weight 1 the logarithm is 0, so t is floor(b) = 0.
+            t[heavy] = np.floor(np.log(weights[heavy])[:, None] / r[heavy] + b[heavy])
         cost = np.log(c) - r * (t - b) - r
-        code = finish((words[:, None] ^ self.offsets[None, :]) + t.astype(np.int64).astype(np.uint64))
-        return cost.astype(np.float32), (code >> np.uint64(48)).astype(np.uint16)
+        code = finish((mixed ^ one) + t.astype(np.int64).astype(np.uint64))
+        return cost, (code >> np.uint64(48)).astype(np.uint16)
 
     def _rows(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
         found = [self.places.get(pair) for pair in pairs]
