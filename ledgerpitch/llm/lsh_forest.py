@@ -55,8 +55,8 @@ _FACTORS = finish(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The least image of the set under each hash function."""
     out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 14):
-        part = shingles[at : at + (1 << 14)]
+    for at in range(0, len(shingles), 1 << 12):
+        part = shingles[at : at + (1 << 12)]
         np.minimum(out, (part[None, :] * _FACTORS[:, None]).min(axis=1), out=out)
     return out
 

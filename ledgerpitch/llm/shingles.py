@@ -18,7 +18,7 @@ def words_of(text: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes by word, bounded; a worker keeps one."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
