@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,28 +45,43 @@ TRAILING_HINTS = r"^(.*?)\s+([A-Za-z]{1,3}(?:\.[A-Za-z]{1,3})*\.)$"
 SEASON = r"(?i)(?:Stagione[_ -])?(20\d{2})[_ -](\d{2,4})"
 
 
-# Combining marks that disappear from a decomposed name.
-COMBINING_MARKS = "[\u0300-\u036f\u1ab0-\u1abd\u1dc0-\u1dff\u20d0-\u20dc\u20e1\ufe20-\ufe2f]"
+def _ranges(codes: Iterable[int], gap: int = 1) -> str:
+    """A character class of the code points; gaps below ``gap`` are covered as well."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+def _vanishes(letter: str) -> bool:
+    return all(map(unicodedata.combining, unicodedata.normalize("NFKD", letter)))
+
+
+#: Every character that is made of combining marks alone; these disappear from a decomposed name.
+COMBINING_MARKS = _ranges(code for code in range(0x300, sys.maxunicode + 1) if _vanishes(chr(code)))
 
 
 def _plain_spellings() -> tuple[dict[str, str], dict[str, str]]:
     """Characters whose compatibility decomposition holds plain letters or digits.
 
-    The first table maps to one character, the second (basic plane only) to several.
+    The first table maps to one character, the second to several.
     """
     one: dict[str, str] = {}
     several: dict[str, str] = {}
-    for code in range(0x80, 0x20000):
+    for code in range(0x80, sys.maxunicode + 1):
         letter = chr(code)
-        decomposed = unicodedata.normalize("NFKD", letter)
-        if decomposed == letter:
+        if not unicodedata.decomposition(letter):
             continue
+        decomposed = unicodedata.normalize("NFKD", letter)
         spelling = "".join(part for part in decomposed if not unicodedata.combining(part))
         if not any(part in SPECIAL_LETTERS or part.isascii() and part.isalnum() for part in spelling):
             continue
         if len(spelling) == 1:
             one[letter] = spelling
-        elif code < 0x10000:
+        else:
             several[letter] = spelling
     return one, several
 
@@ -73,18 +89,8 @@ def _plain_spellings() -> tuple[dict[str, str], dict[str, str]]:
 ONE_LETTER, SEVERAL_LETTERS = _plain_spellings()
 
 
-def _covering_ranges(letters: Mapping[str, str], gap: int = 64) -> str:
-    """A short character class that covers all letters; it may cover others in between."""
-    ranges: list[list[int]] = []
-    for code in sorted(map(ord, letters)):
-        if ranges and code - ranges[-1][1] <= gap:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
-
-
-MAYBE_SEVERAL = _covering_ranges(SEVERAL_LETTERS)
+#: Covers the letters with several; a wide class that is cheap to test.
+MAYBE_SEVERAL = _ranges(map(ord, SEVERAL_LETTERS), gap=64)
 
 
 def normalize_name(value: Column) -> Column:

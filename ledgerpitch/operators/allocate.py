@@ -14,14 +14,30 @@ from ledgerpitch.session import durable
 # Upper percentile of each price tier; rosterable players below are D, others E.
 TIERS = {"S": 0.10, "A": 0.30, "B": 0.60, "C": 0.85}
 SMALLEST_WEIGHT = 0.01
+#: What the largest weight of a group is scaled to.
+SCALE = 1 << 52
 
 
-def _group_sums(df: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
-    """Size and total weight per group; decimal sums do not depend on the order of the rows."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("_members"),
-        F.sum(weight.cast("decimal(28,10)")).cast("double").alias("_weights"),
+def _scaled(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """Add the group's size, the weight as an integer share of the group's largest weight, and
+    the sum of these integers.
+
+    Shares and sum use the same integers, so nothing is lost between them; integer sums do not
+    depend on the order of the rows. The largest weight of a group becomes 2^52, which keeps the
+    weights as exact as doubles are. Missing, negative and undefined weights count as zero.
+    """
+    clean = F.when(
+        F.col(weight).isNotNull() & ~F.isnan(F.col(weight).cast("double")) & (F.col(weight) > 0),
+        F.col(weight).cast("double"),
+    ).otherwise(F.lit(0.0))
+    weighted = df.withColumn("_weight", clean)
+    sizes = weighted.groupBy(*keys).agg(F.count("*").alias("_members"), F.max("_weight").alias("_top"))
+    whole = F.when(F.col("_top") > 0, F.round(F.col("_weight") / F.col("_top") * F.lit(float(SCALE))))
+    scaled = attach(weighted, sizes, keys).withColumn(
+        "_whole", F.coalesce(whole.cast("decimal(16,0)"), F.lit(1).cast("decimal(16,0)"))
     )
+    sums = scaled.groupBy(*keys).agg(F.sum("_whole").cast("decimal(26,0)").alias("_sum"))
+    return attach(scaled, sums, keys).drop("_weight", "_top")
 
 
 def largest_remainder(
@@ -35,32 +51,31 @@ def largest_remainder(
     """Split the group's integer ``total`` by weight; leftovers go to the largest fractions.
 
     Equal fractions are served in ``order``. A group without positive weight is split evenly.
-    ``total`` is a column that is the same for all rows of a group.
+    ``total`` is a column that is the same for all rows of a group, below 10^12. The units of every
+    group add up to its total, for weights of any size; a group for which they do not raises.
     """
-    sums = _group_sums(df, keys, F.col(weight))
-    even = F.col("_weights") <= 0
-    raw = (
-        F.col(total)
-        * F.when(even, F.lit(1.0)).otherwise(F.col(weight))
-        / F.when(even, F.col("_members")).otherwise(F.col("_weights"))
-    )
-    shared = (
-        attach(df, sums, keys)
-        .withColumn("_raw", raw)
-        .withColumn("_floor", F.floor("_raw"))
-        .withColumn("_fraction", F.col("_raw") - F.col("_floor"))
+    whole_total = F.col(total).cast("decimal(12,0)")
+    shared = _scaled(df, keys, weight).withColumn("_product", whole_total * F.col("_whole"))
+    # Integer division and remainder are exact; fractions are compared by the remainder alone.
+    shared = shared.withColumn("_floor", F.expr("_product div _sum")).withColumn(
+        "_fraction", F.col("_product") - F.col("_floor").cast("decimal(13,0)") * F.col("_sum")
     )
     shared = durable(shared)
     missing = shared.groupBy(*keys).agg(
         (F.first(total) - F.sum("_floor")).cast("long").alias("_missing")
     )
     placed = positions(shared, keys, [F.col("_fraction").desc(), F.col(order).asc()], "_place")
-    return attach(placed, missing, keys).select(
+    given = attach(placed, missing, keys).select(
         *df.columns,
         (F.col("_floor") + F.when(F.col("_place") <= F.col("_missing"), 1).otherwise(0))
         .cast("long")
         .alias(name),
     )
+    given = durable(given)
+    wrong = given.groupBy(*keys).agg(F.sum(name).alias("_given"), F.first(total).alias("_total"))
+    if wrong.filter(F.col("_given") != F.col("_total")).limit(1).count():
+        raise ValueError("the units of a group do not add up to its total")
+    return given
 
 
 def capped_allocation(
@@ -148,8 +163,9 @@ def role_budgets(league: League) -> dict[str, int]:
     extra = league.total_budget - league.total_slots
     if extra < 0:
         raise ValueError("the budget does not cover one credit per slot")
-    whole = sum(league.role_budget_shares.values())
-    exact = {role: extra * league.role_budget_shares[role] / whole for role in ROLES}
+    shares = league.each("share")
+    whole = sum(shares.values())
+    exact = {role: extra * share / whole for role, share in shares.items()}
     units = {role: int(exact[role]) for role in ROLES}
     by_fraction = sorted(ROLES, key=lambda role: units[role] - exact[role])
     for role in by_fraction[: extra - sum(units.values())]:
@@ -165,7 +181,7 @@ def per_role(values: dict[str, float | int], role: Column) -> Column:
 def allocate_prices(projections: DataFrame, league: League, keys: Sequence[str] = ()) -> DataFrame:
     """Tier, rosterable flag and credits per player; ``keys`` separates leagues priced together."""
     group = [*keys, "role"]
-    required = per_role({r: league.teams * league.roster[r] for r in ROLES}, F.col("role"))
+    required = per_role(league.pool(), F.col("role"))
     scarce = (
         projections.groupBy(*group)
         .agg(F.count("*").alias("n"))
@@ -186,7 +202,7 @@ def allocate_prices(projections: DataFrame, league: League, keys: Sequence[str]
             F.greatest(F.col("projected_score") - F.col("replacement"), F.lit(SMALLEST_WEIGHT)),
             F.lit(league.price_curve_gamma),
         ).alias("weight"),
-        per_role({r: league.player_price_caps[r] - 1 for r in ROLES}, F.col("role")).alias("room"),
+        per_role({role: cap - 1 for role, cap in league.each("cap").items()}, F.col("role")).alias("room"),
         per_role(role_budgets(league), F.col("role")).alias("extra"),
     )
     priced = capped_allocation(pool, group, "fantacalcio_id", "weight", "room", "extra", "above_one")

@@ -242,38 +242,31 @@ def sidelined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNALS_SQL = """
-injuries AS (
-  SELECT o_custkey AS api_player_id, year(l_shipdate) AS season_start,
-         CASE WHEN l_linenumber < 3 THEN 'line ' || l_linenumber END AS reason,
-         CASE WHEN l_linestatus = 'F' THEN 'late' ELSE '' END AS injury_type,
-         l_shipdate AS fixture_date, l_shipdate AS updated_at
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
-), sidelined AS (
-  SELECT user_id AS api_player_id,
-         CASE WHEN k % 2 = 0 THEN 'error ' || k ELSE '' END AS sidelined_type,
-         start_date, CASE WHEN k % 3 = 0 THEN start_date + k END AS end_date, ts AS observed_at
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-               CAST(ts AS DATE) - 8200 AS start_date FROM events WHERE event_type = 'error')
-), signals AS (
-  SELECT fantacalcio_id,
-         coalesce(nullif(reason, ''), nullif(injury_type, ''), 'Infortunio') AS detail,
-         CAST(fixture_date AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date,
-         updated_at AS observed_at
-  FROM injuries JOIN links USING (api_player_id)
-  WHERE status = 'accepted' AND season_start = 2001
-    AND CAST(fixture_date AS DATE) BETWEEN DATE '2001-08-01' - 7 AND DATE '2001-08-01' + 45
+notices AS (
+  SELECT o_custkey AS api_player_id,
+         CASE WHEN l_linenumber < 3 THEN 'line ' || l_linenumber
+              WHEN l_linestatus = 'F' THEN 'late' ELSE 'Infortunio' END AS detail,
+         CAST(l_shipdate AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date,
+         l_shipdate AS observed_at, CAST(l_shipdate AS DATE) - 45 AS shown_from,
+         CAST(l_shipdate AS DATE) + 7 AS shown_to
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE l_returnflag = 'R' AND year(l_shipdate) = 2001
   UNION ALL
-  SELECT fantacalcio_id, coalesce(nullif(sidelined_type, ''), 'Indisponibile'), start_date, end_date,
-         observed_at
-  FROM sidelined JOIN links USING (api_player_id)
-  WHERE status = 'accepted' AND start_date <= DATE '2001-08-01'
-    AND (end_date >= DATE '2001-08-01'
-         OR (end_date IS NULL AND start_date >= DATE '2001-08-01' - 180))
+  SELECT user_id, CASE WHEN k % 2 = 0 THEN 'error ' || k ELSE 'Indisponibile' END, began, ended, ts,
+         began, coalesce(ended, began + 180)
+  FROM (SELECT user_id, ts, k, CAST(ts AS DATE) - 8200 AS began,
+               CASE WHEN k % 3 = 0 THEN CAST(ts AS DATE) - 8200 + k END AS ended
+        FROM (SELECT user_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+              FROM events WHERE event_type = 'error'))
+), signals AS (
+  SELECT fantacalcio_id, detail, start_date, end_date, observed_at
+  FROM notices JOIN links USING (api_player_id)
+  WHERE status = 'accepted' AND DATE '2001-08-01' BETWEEN shown_from AND shown_to
 ), newest_signals AS (
-  SELECT * EXCLUDE (rn) FROM (
-    SELECT *, row_number() OVER (PARTITION BY fantacalcio_id
-             ORDER BY start_date DESC, observed_at DESC, detail, end_date DESC NULLS LAST) AS rn
-    FROM signals) WHERE rn = 1
+  SELECT fantacalcio_id, unnest(list({'detail': detail, 'start_date': start_date,
+           'end_date': end_date, 'observed_at': observed_at}
+         ORDER BY start_date DESC, observed_at DESC, detail, end_date DESC NULLS LAST)[1])
+  FROM signals GROUP BY fantacalcio_id
 )"""
 
 

@@ -30,16 +30,21 @@ def sql_rounded(names: Iterable[str], places: int = 6) -> str:
     return ", ".join(f"round({name}, {places}) AS {name}" for name in names)
 
 
+#: Supplier keys stay below this, so order and supplier make one number.
+MATCH_BASE = 10_000_000
+
+
 def season_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a fixture: customer nation at home, a supplier nation away.
+    """Every order and supplier as a fixture: customer nation at home, supplier nation away.
 
-    Lines returned with flag A score for the home side, lines with flag R for the away side.
+    All lines that a supplier has in an order make up the match, since an order can hold a line
+    number more than once. Lines returned with flag A score for the home side, with flag R for the
+    away side.
     """
     lines = (
         read(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("fixture_id"))
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("suppkey"))
         .agg(
-            F.min("l_suppkey").alias("suppkey"),
             F.sum("l_quantity").cast("long").alias("quantity"),
             F.count("*").alias("lines"),
             F.max(F.abs("l_discount")).alias("discount"),
@@ -50,7 +55,7 @@ def season_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     orders = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("fixture_id"), "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
     customers = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home_team_id")
@@ -59,11 +64,11 @@ def season_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").alias("supplier_nation")
     )
     return (
-        lines.join(orders, "fixture_id")
+        lines.join(orders, "o_orderkey")
         .join(customers, "o_custkey")
         .join(suppliers, "suppkey")
         .select(
-            "fixture_id",
+            (F.col("o_orderkey").cast("long") * MATCH_BASE + F.col("suppkey")).alias("fixture_id"),
             F.lit(135).alias("league_id"),
             F.year("o_orderdate").alias("season_start"),
             F.col("o_orderdate").alias("kickoff_at"),
@@ -102,12 +107,12 @@ def season_lineups(fixtures: DataFrame) -> DataFrame:
                 F.struct(
                     F.col("home_team_id").alias("team_id"),
                     F.col("home_player").alias("api_player_id"),
-                    starter(F.col("lines") >= 4).alias("lineup_type"),
+                    starter(F.col("quantity") >= 20).alias("lineup_type"),
                 ),
                 F.struct(
                     F.col("away_team_id").alias("team_id"),
                     F.col("away_player").alias("api_player_id"),
-                    starter(F.col("quantity") > 100).alias("lineup_type"),
+                    starter(F.col("quantity") > 30).alias("lineup_type"),
                 ),
             )
         ).alias("entry"),
@@ -145,35 +150,34 @@ def season_stats(fixtures: DataFrame) -> DataFrame:
     )
 
 
-SEASON_SQL = """
-season_lines AS (
-  SELECT l_orderkey AS fixture_id, min(l_suppkey) AS suppkey,
-         CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines,
-         max(abs(l_discount)) AS discount,
+SEASON_SQL = f"""
+fixtures AS (
+  SELECT CAST(o_orderkey AS BIGINT) * {MATCH_BASE} + s_suppkey AS fixture_id, 135 AS league_id,
+         CAST(year(any_value(o_orderdate)) AS INTEGER) AS season_start,
+         any_value(o_orderdate) AS kickoff_at,
+         CASE any_value(o_orderstatus) WHEN 'F' THEN 'FT' WHEN 'O' THEN 'AET' ELSE 'NS' END
+           AS status_short,
+         any_value(c_nationkey) AS home_team_id,
+         CAST(any_value(CASE WHEN s_nationkey = c_nationkey THEN (s_nationkey + 1) % 25
+                             ELSE s_nationkey END) AS INTEGER) AS away_team_id,
          CAST(count_if(l_returnflag = 'A') AS BIGINT) AS home_goals,
          CAST(count_if(l_returnflag = 'R') AS BIGINT) AS away_goals,
-         CAST(count_if(l_returnflag = 'N') AS BIGINT) AS quiet,
-         CAST(count_if(l_linestatus = 'O') AS BIGINT) AS open_lines
-  FROM lineitem GROUP BY l_orderkey
-), fixtures AS (
-  SELECT fixture_id, 135 AS league_id, CAST(year(o_orderdate) AS INTEGER) AS season_start,
-         o_orderdate AS kickoff_at,
-         CASE o_orderstatus WHEN 'F' THEN 'FT' WHEN 'O' THEN 'AET' ELSE 'NS' END AS status_short,
-         c_nationkey AS home_team_id,
-         CASE WHEN s_nationkey = c_nationkey THEN CAST((s_nationkey + 1) % 25 AS INTEGER)
-              ELSE s_nationkey END AS away_team_id,
-         home_goals, away_goals, o_custkey AS home_player, -1 - suppkey AS away_player,
-         quantity, lines, discount, quiet, open_lines, o_orderpriority
-  FROM season_lines
-  JOIN orders ON o_orderkey = fixture_id
+         any_value(o_custkey) AS home_player, -1 - s_suppkey AS away_player,
+         CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines,
+         max(abs(l_discount)) AS discount, CAST(count_if(l_returnflag = 'N') AS BIGINT) AS quiet,
+         CAST(count_if(l_linestatus = 'O') AS BIGINT) AS open_lines,
+         any_value(o_orderpriority) AS o_orderpriority
+  FROM lineitem
+  JOIN orders ON o_orderkey = l_orderkey
   JOIN customer ON c_custkey = o_custkey
-  JOIN supplier ON s_suppkey = suppkey
+  JOIN supplier ON s_suppkey = l_suppkey
+  GROUP BY o_orderkey, s_suppkey
 ), lineups AS (
   SELECT fixture_id, home_team_id AS team_id, home_player AS api_player_id,
-         CASE WHEN lines >= 4 THEN 'starter' ELSE 'substitute' END AS lineup_type FROM fixtures
+         CASE WHEN quantity >= 20 THEN 'starter' ELSE 'substitute' END AS lineup_type FROM fixtures
   UNION ALL
   SELECT fixture_id, away_team_id, away_player,
-         CASE WHEN quantity > 100 THEN 'starter' ELSE 'substitute' END FROM fixtures
+         CASE WHEN quantity > 30 THEN 'starter' ELSE 'substitute' END FROM fixtures
 ), stats AS (
   SELECT fixture_id, team_id, api_player_id, goals, position, minutes, rating, assists, shots_on,
          key_passes, yellow_cards, red_cards
