@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +133,41 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> Non
     )
 
 
+#: Partitions a batch may touch and still prune the scan by a list of values.
+LISTED_PARTITIONS = 1000
+
+
+def _touched_rows(stored: DataFrame, new: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Stored rows of the partitions that have new rows.
+
+    Up to ``LISTED_PARTITIONS`` the values become a filter, so the scan opens these partitions only;
+    a batch that touches more reads the table once and joins.
+    """
+    touched = new.select(*partitions).distinct()
+    values = touched.limit(LISTED_PARTITIONS + 1).collect()
+    if len(values) > LISTED_PARTITIONS:
+        return stored.join(touched, list(partitions), "left_semi")
+    any_of = F.lit(False)
+    if len(partitions) == 1:
+        any_of = F.col(partitions[0]).isin([row[0] for row in values])
+    else:
+        for row in values:
+            same = F.lit(True)
+            for name in partitions:
+                same = same & (F.col(name) == F.lit(row[name]))
+            any_of = any_of | same
+    return stored.filter(any_of)
+
+
+def listed_partitions(stored: DataFrame, partition: str) -> list[str]:
+    """Values of a partition column from the paths of the files; no file is opened.
+
+    The paths come as URIs of folder names, so two kinds of escapes are undone.
+    """
+    marker = re.compile(rf"/{re.escape(partition)}=([^/]+)/")
+    return sorted({unquote(unquote(found[1])) for name in stored.inputFiles() if (found := marker.search(name))})
+
+
 def upsert_path(
     spark: SparkSession,
     path: str,
@@ -143,8 +180,7 @@ def upsert_path(
     """Keyed upsert of a partitioned dataset; only partitions with new rows are rewritten."""
     if not set(partitions) <= set(keys):
         raise ValueError("partition columns must belong to the key")
-    touched = new.select(*partitions).distinct()
-    old = spark.read.parquet(path).join(touched, list(partitions), "left_semi")
+    old = _touched_rows(spark.read.parquet(path), new, partitions)
     # The old files are read completely before their partitions are replaced.
     merged = durable(upsert(old.select(*new.columns), new, keys, sequence, keep_newest))
     write_partitions(merged, path, partitions)
@@ -154,22 +190,51 @@ def insert_new_partitions(
     spark: SparkSession, path: str, new: DataFrame, partition: str
 ) -> DataFrame:
     """Write only partitions that the dataset does not hold yet; returns the written rows."""
-    known = spark.read.parquet(path).select(F.col(partition).cast("string").alias("_known")).distinct()
+    known = [(value,) for value in listed_partitions(spark.read.parquet(path), partition)]
+    held = spark.createDataFrame(known, "_known string")
     fresh = durable(
-        new.join(known, F.col(partition).cast("string") == F.col("_known"), "left_anti")
+        new.join(held, F.col(partition).cast("string") == F.col("_known"), "left_anti")
     )
     write_partitions(fresh, path, [partition])
     return fresh
 
 
+def _marks(root: str) -> str:
+    return f"{root.rstrip('/')}-published"
+
+
 def publish_version(df: DataFrame, root: str, version: str) -> str:
-    """Full refresh: a mart is written as a new version and old readers keep theirs."""
+    """Full refresh: a mart is written as a new version and old readers keep theirs.
+
+    The version's mark is written after its files are committed, and readers go by the marks, so
+    a version is seen whole or not at all.
+    """
     target = f"{root}/version={version}"
     df.write.mode("errorifexists").parquet(target)
+    mark = df.sparkSession.createDataFrame([(version,)], "version string")
+    mark.coalesce(1).write.mode("append").parquet(_marks(root))
     return target
 
 
 def newest_version(spark: SparkSession, root: str) -> DataFrame:
-    stored = spark.read.option("basePath", root).parquet(root)
-    newest = stored.agg(F.max(F.col("version").cast("string"))).first()[0]
-    return stored.filter(F.col("version").cast("string") == newest).drop("version")
+    """The newest marked version; files of versions without a mark are not looked at."""
+    newest = spark.read.parquet(_marks(root)).agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/version={newest}")
+
+
+#: States of a unit of ingestion (fixed values).
+LEDGER_STATES = ("in_progress", "paused", "incomplete", "complete")
+
+
+def record_states(
+    ledger: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: Sequence[str]
+) -> DataFrame:
+    """The ledger with the newest state of every unit; ``changes`` has the ledger's columns.
+
+    A change that is older than what the ledger holds does not count, so changes may come late or
+    twice. A state outside ``LEDGER_STATES`` raises.
+    """
+    unknown = changes.filter(F.col("status").isNull() | ~F.col("status").isin(*LEDGER_STATES))
+    if unknown.limit(1).count():
+        raise ValueError(f"the status of a unit is one of {LEDGER_STATES}")
+    return upsert(ledger, changes.select(*ledger.columns), keys, sequence, keep_newest=True)

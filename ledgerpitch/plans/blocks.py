@@ -1,7 +1,7 @@
 """Ordered windows over groups of any size.
 
 A window partitioned by a key sorts all rows of that key in one task. Where a key holds more rows
-than ``spark.ledgerpitch.maxGroupRows`` its rows are range-partitioned on (key, order) and every
+than ``spark.ledgerpitch.maxGroupRows`` (one million) its rows are range-partitioned on (key, order) and every
 range becomes a block. Blocks are numbered in order, so a window over (key, block) plus a small
 carry from the earlier blocks of the key gives the same answer as the plain window, and no task
 holds more than one block. Keys below the limit keep block -1 and the plain plan.
@@ -50,14 +50,18 @@ def with_blocks(
     keys: Sequence[str],
     order: Sequence[Column],
     size_bound: DataFrame | None = None,
+    limit: int | None = None,
 ) -> Blocked:
     """Number the blocks of keys above the row limit; other rows get block -1.
 
+    ``limit`` replaces the session's limit. Integer and decimal sums are the same whether a key is
+    split or not; sums of doubles are equal up to rounding, so fingerprints should round them.
+
     ``order`` must be a total order within a key, or ties fall in blocks at random. Rows per key
     are counted on ``size_bound`` if given, which must not have fewer rows of any key than ``df``.
     """
     spark = df.sparkSession
-    limit = max_group_rows(spark)
+    limit = limit or max_group_rows(spark)
     counted = df if size_bound is None else size_bound
     sizes = counted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
     found = sizes.agg(
@@ -87,9 +91,10 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
+    limit: int | None = None,
 ) -> DataFrame:
     """Add one inclusive running sum per entry of ``totals`` along ``order`` within ``keys``."""
-    blocked = with_blocks(df, keys, order)
+    blocked = with_blocks(df, keys, order, limit=limit)
     local = (
         Window.partitionBy(*keys, BLOCK)
         .orderBy(*order)
@@ -124,10 +129,14 @@ def running_totals(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "position",
+    limit: int | None = None,
 ) -> DataFrame:
     """1-based place of every row within its group; the total order makes it unique."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("long")})
+    return running_totals(df, keys, order, {name: F.lit(1).cast("long")}, limit)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:

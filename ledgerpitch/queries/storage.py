@@ -223,12 +223,16 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree_sql(source: str, text: str, order: str, name: str = "fingerprint") -> str:
-    """Two levels of the digest tree, enough for a million rows."""
+    """The digest tree of any height: digests of runs of 1000, until a single one is left."""
     return f"""
-SELECT CASE WHEN count(*) = 1 THEN any_value(d) ELSE md5(string_agg(d, ',' ORDER BY c)) END AS {name}
-FROM (SELECT p // 1000 AS c, md5(string_agg(t, ',' ORDER BY p)) AS d
-      FROM (SELECT {text} AS t, row_number() OVER (ORDER BY {order}) - 1 AS p FROM {source})
-      GROUP BY 1)"""
+WITH RECURSIVE tree AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY {order}) - 1 AS place, {text} AS digest FROM {source}
+  UNION ALL
+  SELECT any_value(level) + 1, place // 1000, md5(string_agg(digest, ',' ORDER BY place))
+  FROM tree WHERE level = 0 OR (SELECT count(*) FROM tree) > 1
+  GROUP BY place // 1000
+)
+SELECT digest AS {name} FROM tree ORDER BY level DESC LIMIT 1"""
 
 
 def row_set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,7 +445,36 @@ FROM (SELECT *, CAST(ts AS DATE) AS day,
       FROM events) WHERE rn = 1"""
 
 
+LEDGER_KEYS = ("season_start", "league_id")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order reports on its year and priority; the newest report of a unit stands."""
+    states = F.create_map(F.lit("O"), F.lit("in_progress"), F.lit("P"), F.lit("paused"), F.lit("F"), F.lit("incomplete"))
+    reports = read(spark, sf_dir, "orders").select(
+        F.year("o_orderdate").alias("season_start"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("league_id"),
+        F.when(F.col("o_orderkey") % 4 == 0, "complete").otherwise(F.try_element_at(states, F.col("o_orderstatus"))).alias("status"),
+        F.concat(F.lit("order "), "o_orderkey").alias("detail"),
+        F.col("o_orderkey").alias("updated_at"),
+    )
+    early = F.col("updated_at") % 3 == 0
+    first = upsert.record_states(reports.limit(0), reports.filter(early), LEDGER_KEYS, ["updated_at"])
+    return upsert.record_states(first, reports.filter(~early), LEDGER_KEYS, ["updated_at"])
+
+
+LEDGER_SQL = """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS season_start,
+       CAST(left(o_orderpriority, 1) AS INTEGER) AS league_id,
+       CASE WHEN max(o_orderkey) % 4 = 0 THEN 'complete'
+            ELSE CASE arg_max(o_orderstatus, o_orderkey) WHEN 'O' THEN 'in_progress'
+                 WHEN 'P' THEN 'paused' ELSE 'incomplete' END END AS status,
+       'order ' || max(o_orderkey) AS detail, max(o_orderkey) AS updated_at
+FROM orders GROUP BY 1, 2"""
+
+
 QUERIES = {
+    "ledger": ledger,
     "upsert": upsert_orders,
     "insert_ignore": insert_ignore,
     "replace_children": replace_children,
@@ -462,6 +495,7 @@ QUERIES = {
     "incremental_ingest": incremental_ingest,
 }
 ORACLES = {
+    "ledger": LEDGER_SQL,
     "upsert": UPSERT_SQL,
     "insert_ignore": INSERT_IGNORE_SQL,
     "replace_children": REPLACE_SQL,

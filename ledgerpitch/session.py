@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MAX_GROUP_ROWS_CONF = "spark.ledgerpitch.maxGroupRows"
 MAX_BROADCAST_ROWS_CONF = "spark.ledgerpitch.maxBroadcastRows"
-DEFAULT_MAX_GROUP_ROWS = 20_000_000
+DEFAULT_MAX_GROUP_ROWS = 1_000_000
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 

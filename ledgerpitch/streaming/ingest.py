@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerpitch.operators.upsert import last_per_key, upsert_path, write_partitions
+from ledgerpitch.session import durable
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,18 +41,24 @@ def ingest_available(
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+        # The batch is computed once; everything below reads what was written.
+        batch = durable(batch)
+        counts = batch.agg(F.count("*").alias("rows"), F.countDistinct(*keys).alias("keys")).select(
+            F.lit(number).alias("batch"), "rows", "keys"
+        )
+        found = counts.first()
+        if not found["rows"]:
             return
+        counts = batch.sparkSession.createDataFrame([found], counts.schema)
+        # The ledger says what is under way, so a run that dies is seen.
+        write_partitions(counts.withColumn("status", F.lit("in_progress")), f"{target}_ledger", ["batch"])
         if _exists(batch.sparkSession, target):
             upsert_path(
                 batch.sparkSession, target, batch, keys, sequence, partitions, keep_newest=True
             )
         else:
             write_partitions(last_per_key(batch, keys, sequence), target, partitions)
-        ledger = batch.agg(
-            F.count("*").alias("rows"), F.countDistinct(*keys).alias("keys")
-        ).select(F.lit(number).alias("batch"), "rows", "keys", F.lit("complete").alias("status"))
-        write_partitions(ledger, f"{target}_ledger", ["batch"])
+        write_partitions(counts.withColumn("status", F.lit("complete")), f"{target}_ledger", ["batch"])
 
     stream = (
         spark.readStream.schema(schema)
