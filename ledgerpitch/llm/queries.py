@@ -99,4 +99,43 @@ QUERIES = {
     "op10_lsh_forest": op10_lsh_forest,
 }
 
-ORACLES: dict[str, str] = {}
+OP5_SQL = """
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+       sha256(payload) AS payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM (SELECT page_id, payload,
+             CASE WHEN octet_length(encode(payload)) >= 100
+                  THEN min(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first_id
+      FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages))"""
+
+_CONTROL = r"([\[<])(\\*)(/?INST\]|</?(?:SYS|ROLE)>>|/?s>)"
+OP7_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+), marked AS (
+  SELECT *, CASE role WHEN 'user' THEN '[INST] ' WHEN 'system' THEN '<<SYS>> ' ELSE '<s> ' END AS opening,
+         CASE role WHEN 'user' THEN ' [/INST]' WHEN 'system' THEN ' <</SYS>>' ELSE ' </s>' END AS closing
+  FROM turns
+), sized AS (
+  SELECT *, length(opening) + length(text) + length(closing)
+         + CASE WHEN contains(text, closing)
+                  OR regexp_matches(text, '{_CONTROL.replace("*)(/?INST", "+)(/?INST")}')
+                THEN len(regexp_extract_all(text, '{_CONTROL}')) ELSE 0 END AS chars
+  FROM marked
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+#: The other operators hold models, signatures or tokenizers, which SQL cannot express; tests/llm
+#: holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op5_warc_zstd": OP5_SQL,
+    "op7_chat_format": OP7_SQL,
+}
