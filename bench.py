@@ -38,6 +38,13 @@ HEADLINE = (
     "upsert",
     "table_fingerprint",
     "row_set_fingerprint",
+    "price_allocation",
+    "persist_build",
+    "checked_load",
+    "incremental_ingest",
+    "ledger",
+    "fixture_rows",
+    "player_match_rows",
 )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerpitch.config import League
 from ledgerpitch.functions import casts, hashing
 from ledgerpitch.functions.text import season_in_text, season_key, season_start
 from ledgerpitch.operators import build, normalize, upsert
@@ -368,40 +371,53 @@ SELECT o_orderkey,
 FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)"""
 
 
+BUILD = {"season": NOW, "as_of": dt.date(2001, 8, 1), "kind": "benchmark", "snapshot_id": "list-1", "code_version": "v1"}
+
+
 def persist_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of links and ranking, and the rows of the build they replace."""
+    """The identity of a build from its digests and parameters, and the rows it replaces."""
     links = seasons.links(spark, sf_dir)
     ranking = durable(seasons.ranking(spark, sf_dir, NOW).drop("projected_score", "expected_start_share"))
-    text = F.concat_ws(":", "fantacalcio_id", "team", "role", "official_quote", "official_fvm", "suggested_credits")
-    result = hashing.ordered_fingerprint(ranking, text, [F.col("fantacalcio_id")]).select(
-        F.col("fingerprint").alias("result")
-    )
-    linked = build.mapping_fingerprint(links).select(F.col("fingerprint").alias("mappings"))
-    material = F.to_json(
-        F.struct(linked.scalar().alias("mappings"), result.scalar().alias("result"))
+    none = spark.createDataFrame([], "season string, fantacalcio_id long, valid_from date, note string")
+    identity = durable(
+        build.build_identity(
+            spark, **BUILD, league=League(), metrics=[], raw=None, mappings=links, overrides=none, projections=ranking
+        ).drop("created_at")
     )
-    identity = spark.range(1).select(
-        F.concat(F.lit("build-"), F.substring(F.sha2(material, 256), 1, 20)).alias("build_id")
-    )
-    earlier = ranking.withColumn("build_id", identity.scalar())
+    earlier = ranking.withColumn("build_id", identity.select("build_id").scalar())
     other = ranking.withColumn("build_id", F.lit("build-other"))
-    builds = identity.withColumn("n", F.lit(1))
-    _, values = build.persist_build(builds, earlier.unionByName(other), builds, ranking)
+    _, values = build.persist_build(identity, earlier.unionByName(other), identity, ranking)
     return values.groupBy("build_id").agg(F.count("*").alias("rows"), F.sum("official_fvm").alias("fvm"))
 
 
-PERSIST_SQL = f"""WITH {LISTINGS_SQL}, {ranking_sql(NOW, "ranking")}, {links_sql()}, m AS (
+def _persist_sql() -> str:
+    stable = lambda value: json.dumps(value, sort_keys=True, separators=(",", ":"))
+    parameters = {
+        "season": NOW, "as_of": BUILD["as_of"].isoformat(), "kind": BUILD["kind"], "listone": BUILD["snapshot_id"],
+        "config": League().as_dict(), "version": BUILD["code_version"],
+    }
+    numbers = ("fantacalcio_id", "official_fvm", "official_quote", "reliability", "rosterable", "suggested_credits")
+    fields = sorted([*numbers, "name", "role", "status", "team"])
+    text = " || ',".join(
+        f"""\"{f}\":' || {f}""" if f in numbers else f"""\"{f}\":"' || {f} || '"'""" for f in fields
+    ).replace("\\", "")
+    return f"""WITH {LISTINGS_SQL}, {ranking_sql(NOW, "ranking")}, {links_sql()}, m AS (
   {_tree_sql("links", "season || ':' || fantacalcio_id || ':' || api_player_id || ':' || status || ':' || method", "season, fantacalcio_id, api_player_id", "mappings")}
 ), r AS (
-  {_tree_sql("ranking", "fantacalcio_id || ':' || team || ':' || role || ':' || official_quote || ':' || official_fvm || ':' || suggested_credits", "fantacalcio_id", "result")}
+  {_tree_sql("ranking", "'{" + text + " || '}'", "fantacalcio_id", "result")}
+), d AS (
+  SELECT sha256('{{"mappings":"' || mappings || '","metrics":[],"overrides":null,"raw":null,"result":"'
+                || result || '"}}') AS data FROM m, r
 ), i AS (
-  SELECT 'build-' || left(sha256('{{"mappings":"' || mappings || '","result":"' || result || '"}}'), 20)
-           AS build_id FROM m, r
+  SELECT 'build-' || left(sha256('{stable(parameters)}' || data), 20) AS build_id FROM d
   UNION ALL SELECT 'build-other'
 )
 SELECT build_id, count(*) AS rows, CAST(sum(official_fvm) AS BIGINT) AS fvm FROM ranking, i GROUP BY build_id"""
 
 
+PERSIST_SQL = _persist_sql()
+
+
 def export_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "export")
     ranking = durable(seasons.ranking(spark, sf_dir, NOW))
