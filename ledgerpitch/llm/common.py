@@ -7,16 +7,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ledgerpitch.session import durable, shared_dir
+from ledgerpitch.session import durable, max_broadcast_rows, shared_dir
 
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one Arrow batch; documents can hold 20,000 words, so Spark's 10,000 rows are too many.
 BATCH_ROWS = 512
 
-__all__ = ["arrow_map", "durable", "free_name", "mb_partitions", "shared_dir", "table"]
+__all__ = ["arrow_map", "durable", "free_name", "mb_partitions", "rows_without", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,21 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def rows_without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``gone``; rows with a null key stay.
+
+    The keys are written and counted. Up to the session's limit they are broadcast, so wide rows do
+    not move; more keys are joined.
+    """
+    gone = durable(gone)
+    n = gone.count()
+    if not n:
+        return df
+    if n <= max_broadcast_rows(df.sparkSession):
+        gone = F.broadcast(gone)
+    return df.join(gone, key, "left_anti").select(*df.columns)
+
+
 def mb_partitions(spark: SparkSession, total_bytes: int, mb: int = 64) -> int:
     """Partitions of about ``mb`` megabytes, and at least the shuffle partitions of the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // (mb << 20)))

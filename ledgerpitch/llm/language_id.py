@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpitch.llm.common import arrow_map, durable, free_name
+from ledgerpitch.llm.common import arrow_map, durable, free_name, rows_without
 from ledgerpitch.llm.shingles import finish
 
 UNKNOWN = "und"
@@ -240,4 +240,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     numbered = docs.withColumn(key, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "lang", "source")]))
     verdicts = identify(document_evidence(numbered, [key])).filter("not kept").select(key).distinct()
     # Rows that are equal in all evidence have equal verdicts, so few keys name what goes.
-    return numbered.join(verdicts, key, "left_anti").select(*docs.columns)
+    return rows_without(numbered, verdicts, key).select(*docs.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerpitch.llm.common import arrow_map, durable
+from ledgerpitch.llm.common import arrow_map, durable, rows_without
 from ledgerpitch.llm.components import connected_components
 from ledgerpitch.llm.shingles import WordHashes, distinct_shingles, finish, words_of
 from ledgerpitch.session import max_broadcast_rows
@@ -396,10 +396,11 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """
     verdicts = durable(near_duplicates(docs, percent, id_col, text_col))
     gone = verdicts.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    repeated = (
+    stay = rows_without(docs, gone, id_col)
+    repeated = durable(
         verdicts.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).count().filter("count > 1").select(id_col)
     )
-    stay = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    single = stay.join(repeated, id_col, "left_anti").select(*docs.columns)
+    if not repeated.limit(1).count():
+        return stay
     again = stay.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
-    return single.unionByName(again)
+    return rows_without(stay, repeated, id_col).unionByName(again)
