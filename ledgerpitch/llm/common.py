@@ -17,7 +17,7 @@ BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one Arrow batch; documents can hold 20,000 words, so Spark's 10,000 rows are too many.
 BATCH_ROWS = 512
 
-__all__ = ["arrow_map", "durable", "free_name", "mb_partitions", "rows_without", "shared_dir", "table"]
+__all__ = ["arrow_map", "durable", "free_name", "mb_partitions", "rows_without", "sample_by_hash", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def sample_by_hash(df: DataFrame, rows: int, text_col: str) -> DataFrame:
+    """At most ``rows`` rows of least hash of the text, one for each text; deterministic.
+
+    A bound on the hash, by the number of rows, leaves about four times as many before any row
+    moves, so what is sorted does not grow with the table or with copies of a text.
+    """
+    key = free_name(df.columns, "text_hash")
+    hashed = df.withColumn(key, F.xxhash64(text_col))
+    total = df.count()
+    if total > 4 * rows:
+        hashed = hashed.filter(F.col(key) < -(1 << 63) + (1 << 64) * 4 * rows // total)
+    return hashed.dropDuplicates([key]).orderBy(key).limit(rows).drop(key)
+
+
 def rows_without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``gone``; rows with a null key stay.
 

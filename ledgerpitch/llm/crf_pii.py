@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpitch.llm.common import arrow_map
+from ledgerpitch.llm.common import arrow_map, sample_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -280,9 +280,8 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> Mo
     The driver gets one row per tally; their number depends on features and labels alone.
     """
     text = F.col(text_col).cast("string").alias("text")
-    sample = (
-        docs.select(text).filter(F.col("text").rlike("[0-9]{7}|@|[0-9][ ().-][0-9]")).orderBy(F.xxhash64("text")).limit(fit_docs)
-    )
+    found = docs.select(text).filter(F.col("text").rlike("[0-9]{7}|@|[0-9][ ().-][0-9]"))
+    sample = sample_by_hash(found, fit_docs, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: Counter = Counter()

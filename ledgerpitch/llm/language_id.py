@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerpitch.llm.common import arrow_map, durable, free_name, rows_without
+from ledgerpitch.llm.common import arrow_map, durable, free_name, rows_without, sample_by_hash
 from ledgerpitch.llm.shingles import finish
 
 UNKNOWN = "und"
@@ -87,7 +87,7 @@ def fit(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     The driver gets at most one row per language and bucket.
     """
     labelled = evidence.filter("declared is not null").select("declared", "text")
-    sample = labelled.orderBy(F.xxhash64("text", F.monotonically_increasing_id())).limit(fit_rows)
+    sample = sample_by_hash(labelled, fit_rows, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: dict[str, np.ndarray] = {}
