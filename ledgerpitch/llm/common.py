@@ -58,17 +58,25 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
 
 
 def sample_by_hash(df: DataFrame, rows: int, text_col: str) -> DataFrame:
-    """At most ``rows`` rows of least hash of the text, one for each text; deterministic.
+    """The ``rows`` rows of least hash of the text, one for each text, or one of every text if there
+    are fewer; deterministic.
 
-    A bound on the hash, by the number of rows, leaves about four times as many before any row
-    moves, so what is sorted does not grow with the table or with copies of a text.
+    A bound on the hash leaves about four times as many texts before any row moves, so what is
+    sorted does not grow with the table or with copies of a text. The bound comes from the number
+    of distinct hashes, which is an estimate: it is widened until enough texts are below it.
     """
     key = free_name(df.columns, "text_hash")
     hashed = df.withColumn(key, F.xxhash64(text_col))
-    total = df.count()
-    if total > 4 * rows:
-        hashed = hashed.filter(F.col(key) < -(1 << 63) + (1 << 64) * 4 * rows // total)
-    return hashed.dropDuplicates([key]).orderBy(key).limit(rows).drop(key)
+    total = hashed.agg(F.approx_count_distinct(key)).first()[0]
+    bound = (1 << 64) * 4 * rows // max(1, total)
+    while bound < 1 << 64:
+        near = durable(hashed.filter(F.col(key) < bound - (1 << 63)).dropDuplicates([key]))
+        if near.count() >= rows:
+            break
+        bound *= 4
+    else:
+        near = hashed.dropDuplicates([key])
+    return near.orderBy(key).limit(rows).drop(key)
 
 
 def rows_without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
