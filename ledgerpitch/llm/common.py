@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -57,26 +57,36 @@ def _as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def sample_by_hash(df: DataFrame, rows: int, text_col: str) -> DataFrame:
+def sample_by_hash(df: DataFrame, rows: int, text_col: str, by: str | None = None) -> DataFrame:
     """The ``rows`` rows of least hash of the text, one for each text, or one of every text if there
-    are fewer; deterministic.
+    are fewer; deterministic. With ``by`` so many for each value of that column, of which the driver
+    gets the list.
 
     A bound on the hash leaves about four times as many texts before any row moves, so what is
     sorted does not grow with the table or with copies of a text. The bound comes from the number
     of distinct hashes, which is an estimate: it is widened until enough texts are below it.
     """
-    key = free_name(df.columns, "text_hash")
-    hashed = df.withColumn(key, F.xxhash64(text_col))
-    total = hashed.agg(F.approx_count_distinct(key)).first()[0]
-    bound = (1 << 64) * 4 * rows // max(1, total)
-    while bound < 1 << 64:
-        near = durable(hashed.filter(F.col(key) < bound - (1 << 63)).dropDuplicates([key]))
-        if near.count() >= rows:
+    spark = df.sparkSession
+    key, group = free_name(df.columns, "text_hash"), free_name(df.columns, "sample_group")
+    hashed = df.withColumns({key: F.xxhash64(text_col), group: F.col(by).cast("string") if by else F.lit("")})
+
+    def below(of: DataFrame, bounds: dict[str, int]) -> DataFrame:
+        limits = spark.createDataFrame([(g, min(b, (1 << 64) - 1) - (1 << 63)) for g, b in bounds.items()], f"{group} string, _bound long")
+        return of.join(F.broadcast(limits), group).filter(F.col(key) <= F.col("_bound")).drop("_bound")
+
+    totals = hashed.groupBy(group).agg(F.approx_count_distinct(key).alias("n")).filter(F.col(group).isNotNull()).collect()
+    bounds = {r[group]: (1 << 64) * 4 * rows // max(1, r["n"]) for r in totals}
+    while True:
+        near = durable(below(hashed, bounds).dropDuplicates([group, key]))
+        found = {r[group]: r["count"] for r in near.groupBy(group).count().collect()}
+        few = [g for g, b in bounds.items() if b < 1 << 64 and found.get(g, 0) < rows]
+        if not few:
             break
-        bound *= 4
-    else:
-        near = hashed.dropDuplicates([key])
-    return near.orderBy(key).limit(rows).drop(key)
+        bounds |= {g: bounds[g] * 4 for g in few}
+    place = F.row_number().over(Window.partitionBy(group).orderBy(key))
+    last = near.select(group, key).withColumn("_place", place).filter(F.col("_place") <= rows)
+    cuts = {r[group]: r["cut"] + (1 << 63) for r in last.groupBy(group).agg(F.max(key).alias("cut")).collect()}
+    return below(near, cuts).select(*df.columns)
 
 
 def rows_without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

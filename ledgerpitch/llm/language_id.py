@@ -13,7 +13,7 @@ aggregation over all rows. So a wrong declaration is outweighed where declaratio
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +25,12 @@ from ledgerpitch.llm.common import arrow_map, durable, free_name, rows_without,
 from ledgerpitch.llm.shingles import finish
 
 UNKNOWN = "und"
-#: Rows with a declared language that the trigram model is counted on, those of least hash, and
-#: the languages it holds at most, the most frequent ones.
-FIT_ROWS, MAX_LANGUAGES = 4000, 64
+#: Rows of each declared language that the trigram model is counted on, those of least hash.
+FIT_ROWS = 4000
 BUCKETS = 1 << 16
+#: Trigrams that a language's own sample must have to be judged by itself. Below, it is smoothed
+#: by all languages, and its declaration holds where the text is in no language.
+LEAST_TRIGRAMS, THIN_WEIGHT = 10_000, 3000.0
 #: Overlapping trigrams repeat each other's evidence; their logs are weighed down by this.
 TEMPER = 0.2
 #: Pseudo-counts: of a bucket's share, of reliabilities, and of a host's or domain's prior.
@@ -38,6 +40,8 @@ BUCKET_WEIGHT, RELIABILITY_WEIGHT, PRIOR_WEIGHT = 0.05, 5.0, 10.0
 GATE_NATS, GATE_ERRORS = 4.0, 6.0
 LEAST_POSTERIOR = 0.5
 
+#: What the scan adds to a row of evidence.
+SCORES = ("logs", "known", "letters", "likely")
 _LETTERS = re.compile(r"\b[^\W\d_]+\b")
 
 
@@ -59,35 +63,47 @@ class Model:
     logs: np.ndarray
     mean: np.ndarray
     variance: np.ndarray
+    #: Languages whose sample is large enough to say that a text is not in them.
+    sure: tuple[str, ...]
 
     @classmethod
     def from_counts(cls, languages: list[str], counts: np.ndarray) -> Model:
-        shares = counts + BUCKET_WEIGHT
-        shares = shares / shares.sum(axis=1, keepdims=True)
-        logs = np.log(shares)
-        mean = (shares * logs).sum(axis=1)
-        return cls(languages, logs.T.astype(np.float32).copy(), mean, (shares * logs**2).sum(axis=1) - mean**2)
-
-    def score(self, text: str) -> tuple[np.ndarray, bool]:
-        """Tempered log likelihoods, and whether the text is in one of the languages at all."""
+        logs = np.empty((BUCKETS, len(languages)), np.float32)
+        mean, variance = np.zeros(len(languages)), np.zeros(len(languages))
+        pooled = counts.sum(axis=0, dtype=np.float64) + BUCKET_WEIGHT
+        pooled /= pooled.sum()
+        totals = counts.sum(axis=1, dtype=np.float64)
+        for at, total in enumerate(totals):
+            shares = counts[at] + (BUCKET_WEIGHT if total >= LEAST_TRIGRAMS else THIN_WEIGHT * pooled)
+            shares = shares / shares.sum()
+            own = np.log(shares)
+            mean[at] = (shares * own).sum()
+            variance[at] = (shares * own**2).sum() - mean[at] ** 2
+            logs[:, at] = own
+        sure = tuple(x for x, n in zip(languages, totals, strict=True) if n >= LEAST_TRIGRAMS)
+        return cls(languages, logs, mean, variance, sure)
+
+    def score(self, text: str) -> tuple[np.ndarray, bool, bool]:
+        """Tempered log likelihoods, whether the text is in one of the languages at all, and whether
+        it has letters."""
         found = trigrams(text)
         if not len(found):
-            return np.zeros(len(self.languages)), False
+            return np.zeros(len(self.languages)), False, False
         total = np.zeros(len(self.languages))
         for at in range(0, len(found), 1 << 16):
             total += self.logs[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         low = self.mean[best] - GATE_NATS - GATE_ERRORS * np.sqrt(self.variance[best] / len(found))
-        return TEMPER * (total - total.max()), bool(total[best] / len(found) >= low)
+        return TEMPER * (total - total.max()), bool(total[best] / len(found) >= low), True
 
 
 def fit(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Count trigrams on at most ``fit_rows`` whole texts with a declared language.
+    """Count trigrams on at most ``fit_rows`` whole texts of each declared language.
 
-    The driver gets at most one row per language and bucket.
+    The driver gets at most one row per language and bucket; the model takes 256 KB a language.
     """
     labelled = evidence.filter("declared is not null").select("declared", "text")
-    sample = sample_by_hash(labelled, fit_rows, "text")
+    sample = sample_by_hash(labelled, fit_rows, "text", by="declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: dict[str, np.ndarray] = {}
@@ -101,18 +117,31 @@ def fit(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     found = arrow_map(sample, count, "language string, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     found = durable(found)
-    largest = found.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES)
-    languages = sorted(r["language"] for r in largest.collect())
-    counts = np.zeros((max(1, len(languages)), BUCKETS))
-    for r in found.filter(F.col("language").isin(languages)).toLocalIterator():
-        counts[languages.index(r["language"]), r["bucket"]] = r["n"]
+    languages = sorted(r["language"] for r in found.select("language").distinct().collect())
+    place = {language: at for at, language in enumerate(languages)}
+    counts = np.zeros((max(1, len(languages)), BUCKETS), np.float32)
+    for r in found.toLocalIterator():
+        counts[place[r["language"]], r["bucket"]] = r["n"]
     return Model.from_counts(languages or [UNKNOWN], counts)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _normal(logs: Column) -> Column:
-    """Probabilities from logs."""
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    """Probabilities from logs, in time linear in their number."""
+
+    def shares(raised: Column) -> Column:
+        return _let(F.aggregate(raised, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(raised, lambda x: x / total))
+
+    return _let(logs, lambda own: _let(F.array_max(own), lambda top: _let(F.transform(own, lambda x: F.exp(x - top)), shares)))
+
+
+def _likely(logs: np.ndarray, known: bool) -> list[float]:
+    raised = np.exp(logs - logs.max())
+    return (raised / raised.sum() if known else np.zeros(len(logs))).tolist()
 
 
 def _sums(rows: DataFrame, by: list[str], languages: int, tag: str) -> DataFrame:
@@ -128,7 +157,9 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
     ``evidence`` has ``text``, ``declared``, ``suffix``, ``host`` and ``domain``, all strings that
     may be null, besides columns of its own, which come back unchanged. Evidence that is null is
     left out. A text without letters (null, empty, digits) or unlike every known language has the
-    language ``und``; it is not kept, nor is a row whose best posterior is below one half. Ties go
+    language ``und``; it is not kept, nor is a row whose best posterior is below one half. But a text
+    with letters that is unlike every known language has its declared one, with a posterior of one
+    half, and is kept, if too few texts declare that language to know it by its trigrams. Ties go
     to the first language by name. Repeated rows count as often as they stand there. An empty
     table gives no rows. Without any declared language every row is ``und``.
     """
@@ -140,15 +171,17 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             scores = [model.score(value.as_py() or "") for value in batch.column("text")]
             columns = {name: batch.column(name) for name in batch.schema.names if name != "text"}
-            yield columns | {"logs": [s.tolist() for s, _ in scores], "known": [k for _, k in scores]}
+            yield columns | {
+                "logs": [s.tolist() for s, _, _ in scores], "known": [k for _, k, _ in scores], "letters": [x for _, _, x in scores],
+                "likely": [_likely(s, k) for s, k, _ in scores],
+            }
 
     from pyspark.sql import types as T
 
     keys = ["declared", "suffix", "host", "domain"]
     carried = [f for f in evidence.schema.fields if f.name != "text"]
-    schema = T.StructType([*carried, T.StructField("logs", T.ArrayType(T.DoubleType())), T.StructField("known", T.BooleanType())])
-    scored = durable(arrow_map(evidence.select(*own, *keys, "text"), score, _ordered(schema, [*own, *keys])))
-    likely = scored.withColumn("likely", F.when(F.col("known"), _normal(F.col("logs"))).otherwise(F.array_repeat(F.lit(0.0), n)))
+    schema = T.StructType([*carried, *[T.StructField(k, t) for k, t in zip(SCORES, (T.ArrayType(T.DoubleType()), T.BooleanType(), T.BooleanType(), T.ArrayType(T.DoubleType())), strict=True)]])
+    likely = durable(arrow_map(evidence.select(*own, *keys, "text"), score, _ordered(schema, [*own, *keys])))
     total = likely.agg(*[F.sum(F.col("likely")[at]).alias(f"_s{at}") for at in range(n)]).first()
     shares = np.array([total[at] or 0.0 for at in range(n)]) + 1.0
     all_rows = F.array(*[F.lit(float(x)) for x in shares])
@@ -156,14 +189,18 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
 
     def prior(counts: Column, parent: Column) -> Column:
         known = F.coalesce(counts, F.array_repeat(F.lit(0.0), n))
-        n_known = F.aggregate(known, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(known, parent, lambda c, p: (c + PRIOR_WEIGHT * p) / (n_known + PRIOR_WEIGHT))
+        return _let(
+            F.aggregate(known, F.lit(0.0), lambda a, b: a + b),
+            lambda n_known: F.zip_with(known, parent, lambda c, p: (c + PRIOR_WEIGHT * p) / (n_known + PRIOR_WEIGHT)),
+        )
 
     def reliability(counts: Column) -> Column:
         # Logs of P(value | language), smoothed towards the value's share of all rows.
-        value_share = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) / float(shares.sum())
-        return F.zip_with(
-            counts, all_rows, lambda c, t: F.log((c + RELIABILITY_WEIGHT * value_share + 1e-9) / (t + RELIABILITY_WEIGHT))
+        return _let(
+            F.aggregate(counts, F.lit(0.0), lambda a, b: a + b) / float(shares.sum()),
+            lambda value_share: F.zip_with(
+                counts, all_rows, lambda c, t: F.log((c + RELIABILITY_WEIGHT * value_share + 1e-9) / (t + RELIABILITY_WEIGHT))
+            ),
         )
 
     nothing = F.array_repeat(F.lit(0.0), n)
@@ -182,19 +219,22 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
     posteriors = joined.withColumn("chances", _normal(fused))
     best = F.array_max("chances")
     known = F.col("known") & F.lit(model.languages != [UNKNOWN])
+    # Only the declaration speaks of a language that is too rare for its trigrams to be known.
+    declared = F.col("declared")
+    trusted = F.coalesce(~F.col("known") & F.col("letters") & ~declared.isin(list(model.sure)), F.lit(False))
     return posteriors.select(
         *own,
-        F.when(known, F.element_at(names, F.array_position("chances", best).cast("int"))).otherwise(UNKNOWN).alias("language"),
-        F.when(known, best).otherwise(0.0).alias("posterior"),
+        F.when(known, F.element_at(names, F.array_position("chances", best).cast("int"))).when(trusted, declared).otherwise(UNKNOWN).alias("language"),
+        F.when(known, best).when(trusted, LEAST_POSTERIOR).otherwise(0.0).alias("posterior"),
         F.when(known, F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int"))).otherwise(UNKNOWN).alias("text_language"),
-        (known & (best >= LEAST_POSTERIOR)).alias("kept"),
+        ((known & (best >= LEAST_POSTERIOR)) | trusted).alias("kept"),
     )
 
 
 def _ordered(schema, first: list[str]):
     from pyspark.sql import types as T
 
-    names = [*first, "logs", "known"]
+    names = [*first, *SCORES]
     return T.StructType([schema[name] for name in names])
 
 

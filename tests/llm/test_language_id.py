@@ -58,3 +58,28 @@ def test_odd_rows(odd_docs, no_docs):
     assert {3, 4, 5}.isdisjoint({r["doc_id"] for r in kept.collect()})
     assert li.identify(li.document_evidence(no_docs, ["doc_id"])).count() == 0
     assert li.keep_identified(no_docs).count() == 0
+
+
+def test_rare_and_many_languages_keep_their_documents(spark):
+    def letters(at, n):
+        return [chr(0x4E00 + 40 * at + (n * k + k * k) % 37) for k in range(1, 60)]
+
+    # 12 languages of their own letters, a common one, and one with a single text.
+    rows = [(f"l{at:02}", " ".join("".join(letters(at, n)[k : k + 4]) for k in range(50)), "s") for at in range(12) for n in range(6)]
+    rows += [("aa", f"common words and the number {'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10 % 10]} of it", "s") for n in range(600)]
+    rows += [("zz", "привет мир как дела " * 9, "s")]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, lang string, text string, source string")
+    evidence = li.document_evidence(docs.repartition(4), ["doc_id"])
+    got = li.identify(evidence, li.fit(evidence, 20)).join(docs, "doc_id").collect()
+    assert len(got) == len(rows)
+    assert [r for r in got if r["language"] != r["lang"] or not r["kept"]] == []
+
+
+def test_declared_language_without_a_model_is_not_gated_out(spark):
+    plain = [(n, "the words of a plain text about many things and others " * 3 + f" {chr(97 + n % 20)}{chr(97 + n // 20)}", "en") for n in range(200)]
+    model = li.fit(li.document_evidence(spark.createDataFrame([(*r, "s") for r in plain], "doc_id long, text string, lang string, source string"), ["doc_id"]))
+    rows = [(1, "привет мир как дела " * 9, "ru"), (2, "привет мир как дела " * 9, "en"), (3, "привет мир как дела " * 9, None), (4, "12 34", "ru")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["language"], r["kept"]) for r in li.identify(li.document_evidence(docs, ["doc_id"]), model).collect()}
+    assert model.sure == ("en",)
+    assert got == {1: ("ru", True), 2: ("und", False), 3: ("und", False), 4: ("und", False)}
