@@ -50,8 +50,8 @@ def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every whole document."""
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    """Token counts of every prefix of every document, and what they say of the whole."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), store=True)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,10 @@ _BLANKS = frozenset(
     "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+#: A run of blanks with what follows it: no pre-token reaches over the ends, nor does that of a prefix.
+_CHUNK = re.compile(f"[{''.join(sorted(_BLANKS))}]*[^{''.join(sorted(_BLANKS))}]+|[{''.join(sorted(_BLANKS))}]+")
+#: Characters of a chunk that is remembered.
+CHUNK_CHARS = 64
 
 
 class PrefixCounter:
@@ -57,6 +61,7 @@ class PrefixCounter:
         self.letters = letters
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        self.known: dict[str, bytes] = {}
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.chunks = byte_bpe.Chunks(self.special, lambda texts: [self._plain_total(t) for t in texts])
 
@@ -147,6 +152,26 @@ class PrefixCounter:
         out[at:] = before + self.plain(text[at:])
         return out
 
+    def stored(self, text: str) -> bytes:
+        """Changes of the count from prefix to prefix, each chunk's computed once per worker."""
+        if self._special.search(text):
+            return deltas(self.counts(text))
+        if len(self.known) > byte_bpe.CACHE_CHUNKS:
+            self.known.clear()
+        chunks = _CHUNK.findall(text)
+        try:
+            return b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            return b"".join(map(self._chunk, chunks))
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.known.get(chunk)
+        if found is None:
+            found = deltas(self.plain(chunk))
+            if len(chunk) <= CHUNK_CHARS:
+                self.known[chunk] = found
+        return found
+
     def total(self, text: str) -> int:
         if self.chunks.can_cut(text):
             return sum(self.chunks.of(text))
@@ -184,10 +209,11 @@ def token_counts(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, and the stored prefix counts on request.
 
-    With ``store`` a binary column ``prefix_deltas`` answers ``count_at`` and ``longest_within``.
-    A null text is the empty one: no bytes, no tokens. Rows with null or repeated ids stay as they
-    are, one result each; other columns are not carried. Texts are never cut; without ``store``
-    chunks between blanks are counted once per worker and summed.
+    With ``store`` a binary column ``prefix_deltas`` answers ``count_at`` and ``longest_within``;
+    ``n_tokens`` and ``limit_chars``, the characters of the longest prefix of at most ``limit``
+    tokens, are read off it. A null text is the empty one: no bytes, no tokens. Rows with null or
+    repeated ids stay as they are, one result each; other columns are not carried. Texts are never
+    cut; chunks between blanks are counted once per worker.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
@@ -200,9 +226,9 @@ def token_counts(
             ids, sizes = batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist()
             texts = (value.as_py() for value in batch.column("text"))
             if store:
-                found = [counter.counts(text) for text in texts]
-                tokens = [int(c[-1]) for c in found]
-                extra = {"prefix_deltas": [deltas(c) for c in found]}
+                found = [counter.stored(text) for text in texts]
+                tokens = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in found]
+                extra = {"prefix_deltas": found, "limit_chars": [longest_within(s, limit) for s in found]}
             else:
                 tokens, extra = [counter.total(text) for text in texts], {}
             yield {
@@ -211,4 +237,4 @@ def token_counts(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    return arrow_map(rows, count, schema + (", prefix_deltas binary" if store else ""))
+    return arrow_map(rows, count, schema + (", prefix_deltas binary, limit_chars long" if store else ""))

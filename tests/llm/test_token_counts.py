@@ -72,3 +72,25 @@ def test_caches_are_bounded(library):
     for n in range(300):
         assert chunks.of(f"w{n} x{n}\ny{n}") == [len(f"w{n}"), 1 + len(f"x{n}"), 1, len(f"y{n}")]
         assert len(chunks.first) + len(chunks.spaced) <= 55
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=texts)
+def test_stored_counts_by_chunks_are_those_of_the_text(counter, library, text):
+    stored = counter.stored(text)
+    assert [tc.count_at(stored, k) for k in range(len(text) + 1)] == [size(library, text[:k]) for k in range(len(text) + 1)]
+
+
+def test_the_query_stores_every_prefix(spark, tmp_path, library):
+    from ledgerpitch.llm import queries
+
+    rows = [(1, "the quick  brown\n\n fox"), (2, " ".join(f"word{n}" for n in range(900))), (3, None), (4, "a<|endoftext|> b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op6_token_counts(spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        text, stored = text or "", got[doc]["prefix_deltas"]
+        assert len(stored) == len(text) and got[doc]["n_tokens"] == size(library, text) == tc.count_at(stored, len(text))
+        for k in range(0, len(text), 97):
+            assert tc.count_at(stored, k) == size(library, text[:k])
+        assert got[doc]["limit_chars"] == tc.longest_within(stored, 1024)
+        assert size(library, text[: got[doc]["limit_chars"]]) <= 1024
