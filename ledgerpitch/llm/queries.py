@@ -6,7 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerpitch.llm import chat_format, crf_pii, decontaminate, language_id, lsh_forest, packing, token_counts, url_templates, warc_zstd, weighted_sampling
+from ledgerpitch.llm import (
+    chat_format,
+    crf_pii,
+    decontaminate,
+    language_id,
+    lsh_forest,
+    packing,
+    token_counts,
+    url_templates,
+    vector_codes,
+    warc_zstd,
+    weighted_sampling,
+)
 from ledgerpitch.llm.common import shared_dir, table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -85,6 +97,11 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors by 16 codebooks of 64 entries."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -97,6 +114,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op9_decontamination": op9_decontamination,
     "op10_lsh_forest": op10_lsh_forest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 OP5_SQL = """
@@ -133,9 +151,50 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
+
+def _op13_round(book: str, assigned: str) -> str:
+    """One assignment of all parts to a codebook, in SQL."""
+    return f"""{assigned} AS (
+  SELECT vec_id, p, k, d FROM (
+    SELECT vec_id, p, k, d, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) AS rn FROM (
+      SELECT vec_id, p, k, sum((x - c) * (x - c)) AS d
+      FROM parts JOIN {book} USING (p, i) GROUP BY vec_id, p, k))
+  WHERE rn = 1)"""
+
+
+def _op13_means(book: str, assigned: str, moved: str) -> str:
+    return f"""{moved} AS (
+  SELECT p, k, i, coalesce((m.total - (m.total % m.n + m.n) % m.n) // m.n, c) AS c
+  FROM {book} LEFT JOIN (
+    SELECT p, k, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n
+    FROM {assigned} JOIN parts USING (vec_id, p) GROUP BY p, k, i) m USING (p, k, i))"""
+
+
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, len(embedding) // 16 AS width, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), places AS (
+  SELECT vec_id, width, unnest(embedding) AS value, unnest(range(len(embedding))) AS place FROM kept
+), parts AS (
+  SELECT vec_id, place // width AS p, place % width AS i, CAST(floor(256 * CAST(value AS DOUBLE)) AS BIGINT) AS x FROM places
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (SELECT p, k, i, x AS c FROM parts JOIN firsts USING (vec_id)),
+{_op13_round("book0", "near0")}, {_op13_means("book0", "near0", "book1")},
+{_op13_round("book1", "near1")}, {_op13_means("book1", "near1", "book2")},
+{_op13_round("book2", "near2")},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, i)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
 #: The other operators hold models, signatures or tokenizers, which SQL cannot express; tests/llm
 #: holds them against brute force.
 ORACLES: dict[str, str] = {
     "op5_warc_zstd": OP5_SQL,
     "op7_chat_format": OP7_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
