@@ -10,6 +10,7 @@ from ledgerpitch.llm import (
     chat_format,
     crf_pii,
     decontaminate,
+    filter_audit,
     language_id,
     lsh_forest,
     packing,
@@ -97,6 +98,11 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all usable vectors by 16 codebooks of 64 entries."""
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
@@ -114,6 +120,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op9_decontamination": op9_decontamination,
     "op10_lsh_forest": op10_lsh_forest,
+    "op11_filter_audit": op11_filter_audit,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -151,6 +158,42 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
 
+OP11_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), masks AS (
+  SELECT part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+         CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(body, '[A-Z]')) > 5 * length(body) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN d.doc_id > first_id THEN 16 ELSE 0 END AS mask
+  FROM split d LEFT JOIN labels l ON l.doc_id = d.doc_id
+), counted AS (
+  SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM masks GROUP BY part, mask
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM letters a, letters b, letters x, letters y, letters z
+  WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+         list_sum([1 << (ascii(substr(filter_order, k, 1)) - 65) FOR k IN range(1, step)]) AS earlier
+  FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)
+), told AS (
+  SELECT part, filter_order, step, letter,
+         CAST(coalesce(sum(n) FILTER (WHERE mask & (bit | coalesce(earlier, 0)) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) > 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS BIGINT) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, letter
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM told"""
+
 
 def _op13_round(book: str, assigned: str) -> str:
     """One assignment of all parts to a codebook, in SQL."""
@@ -196,5 +239,6 @@ FROM coded JOIN kept USING (vec_id)"""
 ORACLES: dict[str, str] = {
     "op5_warc_zstd": OP5_SQL,
     "op7_chat_format": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
     "op13_vector_codes": OP13_SQL,
 }
