@@ -11,6 +11,7 @@ from ledgerpitch.llm import (
     crf_pii,
     decontaminate,
     filter_audit,
+    kernel_quality,
     language_id,
     lsh_forest,
     packing,
@@ -103,6 +104,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    return kernel_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all usable vectors by 16 codebooks of 64 entries."""
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
@@ -121,6 +127,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lsh_forest": op10_lsh_forest,
     "op11_filter_audit": op11_filter_audit,
+    "op12_kernel_quality": op12_kernel_quality,
     "op13_vector_codes": op13_vector_codes,
 }
 
