@@ -119,25 +119,20 @@ def train_and_project(
     return durable(valuation.published(projections)), metrics
 
 
-def _availability_metrics(checked: forecast.AvailabilityValidation | None) -> list[dict]:
-    if checked is None:
-        return []
-    shared = {"train_count": checked.train_count, "validation_count": checked.validation_count}
-    empty = {"baseline_spearman": None, "ml_spearman": None}
+def _availability_metrics(gates: list[forecast.Gate]) -> list[dict]:
     return [
         {
-            "role": label,
-            **shared,
-            "baseline_mae": baseline,
-            "ml_mae": model,
-            **empty,
-            "use_ml": used,
-            "ml_weight": 1.0 if used else 0.0,
+            "role": gate.label,
+            "train_count": gate.trained,
+            "validation_count": gate.checked,
+            "baseline_mae": gate.baseline,
+            "ml_mae": gate.model,
+            "baseline_spearman": None,
+            "ml_spearman": None,
+            "use_ml": gate.used,
+            "ml_weight": float(gate.used),
         }
-        for label, baseline, model, used in (
-            ("START", checked.start_baseline_brier, checked.start_model_brier, checked.use_start_model),
-            ("MIN", checked.minutes_baseline_mae, checked.minutes_model_mae, checked.use_minutes_model),
-        )
+        for gate in gates
     ]
 
 

@@ -307,10 +307,13 @@ def reliability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RELIABILITY_SQL = f"""WITH {EXAMPLES_SQL}, {SIGNALS_SQL}, hurt AS (
-  SELECT DISTINCT api_player_id FROM sidelined WHERE start_date <= DATE '2001-08-01'
-    AND (end_date >= DATE '2001-08-01'
-         OR (end_date IS NULL AND start_date >= DATE '2001-08-01' - 180))
+RELIABILITY_SQL = f"""WITH {EXAMPLES_SQL}, hurt AS (
+  SELECT DISTINCT user_id AS api_player_id
+  FROM (SELECT user_id, CAST(ts AS DATE) - 8200 AS began, CASE WHEN k % 3 = 0 THEN CAST(ts AS DATE) - 8200 + k END AS ended
+        FROM (SELECT user_id, ts, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+              FROM events WHERE event_type = 'error'))
+  WHERE began <= DATE '2001-08-01'
+    AND (ended >= DATE '2001-08-01' OR (ended IS NULL AND began >= DATE '2001-08-01' - 180))
 )
 SELECT fantacalcio_id, season, CAST(greatest(10, least(100, 35 + 12 * least(seasons_seen, 4)
     + CASE WHEN prev_minutes > 0 THEN 10 ELSE 0 END - CASE WHEN role_changed > 0 THEN 10 ELSE 0 END
@@ -445,6 +448,37 @@ def start_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def outcome_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each walk-forward fold learns from, checks on and has to beat."""
+    examples, _ = _examples_and_target(spark, sf_dir)
+    outcomes = durable(examples.filter(F.col("realized_score").isNotNull() & (F.col("season_start") < 2001)))
+    folds = forecast.backtest_folds(outcomes)
+    fold = ["classic_role", "season_start"]
+    trained = forecast.folds_seen(outcomes, folds).groupBy(*fold).agg(F.count("*").alias("trained"))
+    checked = forecast.fold_baselines(outcomes, folds).groupBy(*fold).agg(
+        F.count("*").alias("checked"), F.round(F.avg(F.abs(F.col("actual") - F.col("baseline"))), 6).alias("baseline_mae")
+    )
+    return checked.join(trained, fold)
+
+
+OUTCOME_FOLDS_SQL = f"""WITH {EXAMPLES_SQL}, outcomes AS (
+  SELECT classic_role, season_start, fantacalcio_id, CAST(fvm AS DOUBLE) AS fvm, realized_score
+  FROM examples WHERE realized_score IS NOT NULL AND season_start < 2001
+), years AS (
+  SELECT classic_role, season_start, count(*) AS checked,
+         row_number() OVER (PARTITION BY classic_role ORDER BY season_start DESC) AS rn
+  FROM outcomes GROUP BY classic_role, season_start
+), folds AS (
+  SELECT y.classic_role, y.season_start, y.checked, count(*) AS trained,
+         median(realized_score / greatest(fvm, 1)) AS ratio
+  FROM years y JOIN outcomes o ON o.classic_role = y.classic_role AND o.season_start < y.season_start
+  WHERE rn <= 2 GROUP BY ALL HAVING count(*) >= 25 AND y.checked >= 8
+)
+SELECT classic_role, season_start, any_value(checked) AS checked, any_value(trained) AS trained,
+       round(avg(abs(realized_score - fvm * ratio)), 6) AS baseline_mae
+FROM folds JOIN outcomes USING (classic_role, season_start) GROUP BY classic_role, season_start"""
+
+
 def outcome_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples, _ = _examples_and_target(spark, sf_dir)
     outcomes = examples.filter(F.col("realized_score").isNotNull() & (F.col("season_start") < 2001))
@@ -465,9 +499,11 @@ QUERIES = {
     "weight_grid": weight_grid,
     "temporal_split_baseline": temporal_split_baseline,
     "start_model": start_model,
+    "outcome_folds": outcome_folds,
     "outcome_backtest": outcome_backtest,
 }
 ORACLES = {
+    "outcome_folds": OUTCOME_FOLDS_SQL,
     "role_medians": f"""WITH {EXAMPLES_SQL}, {RATIOS_SQL}
         SELECT * REPLACE ({sql_rounded(["role_ratio", "outcome_ratio"])}) FROM ratios""",
     "part_medians": PART_MEDIANS_SQL,
