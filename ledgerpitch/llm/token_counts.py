@@ -53,50 +53,66 @@ class PrefixCounter:
         letters = byte_bpe.LETTERS
         if not all(letter in vocab for letter in letters):
             raise ValueError("the vocabulary does not hold every byte")
-        #: True for tokens, False for what only begins some.
-        self.tokens = {token[:k]: False for token in vocab for k in range(1, len(token))} | dict.fromkeys(vocab, True)
+        #: A trie of the tokens by byte letter: (children, number of the token that ends here or -1).
+        self.root: tuple[dict, int] = ({}, -1)
+        self.names = [*vocab, ""]
+        for number, token in enumerate(vocab):
+            children = self.root[0]
+            for letter in token[:-1]:
+                children = children.setdefault(letter, ({}, -1))[0]
+            below = children[token[-1]][0] if token[-1] in children else {}
+            children[token[-1]] = (below, number)
         self.special = byte_bpe.specials(self.tokenizer)
         self.splitter = self.tokenizer.pre_tokenizer
         self.model = self.tokenizer.model
         self.letters = letters
-        self.pairs: dict[str, dict[str, bool]] = {}
+        self.pairs: list[dict[int, bool] | None] = [None] * len(self.names)
         self.n_pairs = 0
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.chunks = byte_bpe.Chunks(self.special, lambda texts: [self._plain_total(t) for t in texts])
 
-    def _compatible(self, left: str, right: str) -> bool:
+    def _compatible(self, left: int, right: int) -> bool:
         self.n_pairs += 1
         if self.n_pairs > PAIRS:
             self.n_pairs = 1
-            for row in self.pairs.values():
-                row.clear()
-        fits = [t.value for t in self.model.tokenize(left + right)] == [left, right] if left else True
-        self.pairs.setdefault(left, {})[right] = fits
+            for row in self.pairs:
+                if row is not None:
+                    row.clear()
+        one, two = self.names[left], self.names[right]
+        fits = [t.value for t in self.model.tokenize(one + two)] == [one, two] if one else True
+        self.pairs[left][right] = fits
         return fits
 
     def _piece(self, piece: str) -> list[int]:
         """Counts of all prefixes of a pre-token in byte letters, by bytes, from the empty one on."""
         n = len(piece)
-        last: list = [""] + [None] * n
+        last = [-1] * (n + 1)
         counts = [0] * (n + 1)
-        tokens, pairs = self.tokens.get, self.pairs
+        pairs, root, free = self.pairs, self.root[0], n
         for start in range(n):
             left, count = last[start], counts[start] + 1
-            row = pairs.get(left)
+            row = pairs[left]
             if row is None:
                 row = pairs[left] = {}
-            for end in range(start + 1, n + 1):
-                token = piece[start:end]
-                whole = tokens(token)
-                if whole is None:
+            children = root
+            end = start
+            for letter in piece[start:]:
+                node = children.get(letter)
+                if node is None:
                     break
-                if whole and last[end] is None:
+                children, token = node
+                end += 1
+                if token >= 0 and last[end] < 0:
                     fits = row.get(token)
                     if fits is None:
                         fits = self._compatible(left, token)
                     if fits:
                         last[end], counts[end] = token, count
+                        free -= 1
+            if not free:
+                break
         return counts
 
     def _pieces(self, text: str) -> list[tuple[str, int, int]]:
@@ -156,20 +172,41 @@ class PrefixCounter:
         """Changes of the count from prefix to prefix, each chunk's computed once per worker."""
         if self._special.search(text):
             return deltas(self.counts(text))
-        if len(self.known) > byte_bpe.CACHE_CHUNKS:
-            self.known.clear()
+        known = self.known
+        if len(known) > byte_bpe.CACHE_CHUNKS:
+            known.clear()
         chunks = _CHUNK.findall(text)
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            return b"".join(map(self._chunk, chunks))
+            long: dict[str, bytes] = {}
+            for chunk in set(chunks).difference(known):
+                (known if len(chunk) <= CHUNK_CHARS else long)[chunk] = self._chunk(chunk)
+            if not long:
+                return b"".join(map(known.__getitem__, chunks))
+            return b"".join([known[c] if c in known else long[c] for c in chunks])
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.known.get(chunk)
+        if simple := byte_bpe.SIMPLE.match(chunk):
+            # Two pre-tokens at most, and words come again with other marks behind them.
+            word, marks = simple.groups()
+            return self._word(word) + self._word(marks) if marks else self._word(word)
+        return deltas(self.plain(chunk))
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
         if found is None:
-            found = deltas(self.plain(chunk))
-            if len(chunk) <= CHUNK_CHARS:
-                self.known[chunk] = found
+            counts = self._piece(byte_bpe.in_letters(word))
+            if len(counts) - 1 != len(word):
+                ends = [0]
+                for letter in word:
+                    ends.append(ends[-1] + len(letter.encode()))
+                counts = [counts[e] for e in ends]
+            found = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)]) if len(word) < 127 else deltas(np.array(counts))
+            if len(word) <= CHUNK_CHARS:
+                if len(self.words) > byte_bpe.CACHE_CHUNKS:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def total(self, text: str) -> int:
@@ -185,7 +222,15 @@ def counter_for(path: str) -> PrefixCounter:
 
 
 def deltas(counts: np.ndarray) -> bytes:
-    return np.diff(counts).astype(np.int8).tobytes()
+    """One signed byte for each character; a longer step between two prefixes is an error."""
+    steps = np.diff(counts)
+    if len(steps) and max(steps.max(), -steps.min()) > 127:
+        raise ValueError("the count of tokens changes by more than 127 at one character")
+    return steps.astype(np.int8).tobytes()
+
+
+def total_of(stored: bytes) -> int:
+    return int(np.frombuffer(stored, np.int8).sum(dtype=np.int64))
 
 
 def count_at(stored: bytes, chars: int) -> int:
@@ -227,8 +272,9 @@ def token_counts(
             texts = (value.as_py() for value in batch.column("text"))
             if store:
                 found = [counter.stored(text) for text in texts]
-                tokens = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in found]
-                extra = {"prefix_deltas": found, "limit_chars": [longest_within(s, limit) for s in found]}
+                tokens = [total_of(s) for s in found]
+                longest = [longest_within(s, limit) if n > limit else len(s) for s, n in zip(found, tokens, strict=True)]
+                extra = {"prefix_deltas": found, "limit_chars": longest}
             else:
                 tokens, extra = [counter.total(text) for text in texts], {}
             yield {
