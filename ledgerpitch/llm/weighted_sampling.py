@@ -31,10 +31,16 @@ SAMPLES = 128
 CACHE_ROWS = 150_000
 #: Distinct words whose samples are compared at once.
 BLOCK_ROWS = 8192
+#: Words of several texts whose samples are drawn together; no more than are remembered.
+GROUP_PAIRS = 30_000
+#: Pairs drawn at once, so that their numbers stay in the processor's caches.
+DRAWN = 128
 #: Id ranges for each partition; they are dealt by hash, so several even out.
 RANGES_EACH = 3
 _STREAMS = finish(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MASK = np.uint64((1 << 23) - 1)
+#: Bits of a weight beside a word's number.
+_WEIGHT_BITS = 32
 
 
 def _unit(bits: np.ndarray) -> np.ndarray:
@@ -42,23 +48,43 @@ def _unit(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
+class _Numbers(dict):
+    """Consecutive numbers of words, with their 64-bit hashes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+
 class Sampler:
-    """Fingerprints under a fixed number of samples."""
+    """Fingerprints under a fixed number of samples.
+
+    A row holds the samples of a (word, weight) pair, each as one number: cost first, then code. The
+    sample of a text is the least number over its rows, whatever their order.
+    """
 
     def __init__(self, samples: int = SAMPLES, rows: int = CACHE_ROWS):
         self.samples = samples
-        self.places: dict[tuple[bytes, int], int] = {}
-        self.costs = np.empty((rows, samples), np.float32)
-        self.codes = np.empty((rows, samples), np.uint16)
+        self.rows = np.empty((rows, samples), np.uint64)
         self.offsets = finish(np.arange(samples, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.single = np.full(1024, -1, np.int64)
+        self.heavy: dict[int, int] = {}
+        self.used = 0
 
-    def draw(self, pairs: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, code of (word, t)) for each pair and sample.
+    def draw(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ln a, code of (word, t)) for each pair of a word's hash and a weight, and each sample.
 
         Two hashes give five uniform numbers: two of 23 bits each, and b from the 16 bits left.
         """
-        words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in pairs), np.uint64, len(pairs))
-        weights = np.fromiter((n for _, n in pairs), np.float32, len(pairs))
         mixed = words[:, None] ^ self.offsets[None, :]
         one, two = finish(mixed + _STREAMS[0]), finish(mixed + _STREAMS[1])
         r = -np.log(_unit(one >> np.uint64(41)) * _unit(one >> np.uint64(16) & _MASK))
@@ -73,41 +99,95 @@ class Sampler:
         code = finish((mixed ^ one) + t.astype(np.int64).astype(np.uint64))
         return cost, (code >> np.uint64(48)).astype(np.uint16)
 
-    def _rows(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
-        found = [self.places.get(pair) for pair in pairs]
-        if None in found:
-            new = [pair for pair, at in zip(pairs, found, strict=True) if at is None]
-            if len(self.places) + len(new) > len(self.costs):
-                self.places.clear()
-                new = pairs
-            first = len(self.places)
-            for at in range(0, len(new), 1024):
-                part = new[at : at + 1024]
-                place = slice(first + at, first + at + len(part))
-                self.costs[place], self.codes[place] = self.draw(part)
-            self.places.update(zip(new, range(first, first + len(new)), strict=True))
-            found = [self.places[pair] for pair in pairs]
-        return np.array(found, np.int64)
+    def _remember(self, words: np.ndarray, weights: np.ndarray) -> None:
+        """Draw the samples of new pairs of a word's number and a weight."""
+        hashes = np.array([self.numbers.hashes[w] for w in words.tolist()], np.uint64)
+        for at in range(0, len(words), DRAWN):
+            part = slice(at, at + DRAWN)
+            cost, code = self.draw(hashes[part], weights[part].astype(np.float32))
+            # The bits of a float in the order of its value: negative ones turned round.
+            bits = cost.view(np.uint32)
+            bits = bits ^ np.where(bits >> np.uint32(31) != 0, np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
+            self.rows[self.used + at : self.used + at + len(cost)] = bits.astype(np.uint64) << np.uint64(16) | code
+        self.used += len(words)
+
+    def _learn(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Remember every pair of the bags (numbers, weights), all missing ones at once."""
+        if len(self.numbers) > len(self.single):
+            grown = np.full(2 * len(self.numbers), -1, np.int64)
+            grown[: len(self.single)] = self.single
+            self.single = grown
+        words, weights = (np.concatenate([bag[k] for bag in bags]) for k in (0, 1))
+        light = np.unique(words[weights == 1])
+        light = light[self.single[light] < 0]
+        self.single[light] = np.arange(self.used, self.used + len(light))
+        self._remember(light, np.ones(len(light), np.int64))
+        more = weights > 1
+        pairs = np.unique(words[more] << _WEIGHT_BITS | weights[more]).tolist()
+        new = [pair for pair in pairs if pair not in self.heavy]
+        self.heavy.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        found = np.array(new, np.int64)
+        self._remember(found >> _WEIGHT_BITS, found & ((1 << _WEIGHT_BITS) - 1))
+
+    def _least(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The least number of each sample over a bag whose pairs are remembered."""
+        at = self.single[words]
+        more = np.flatnonzero(weights > 1)
+        if len(more):
+            at[more] = [self.heavy[pair] for pair in (words[more] << _WEIGHT_BITS | weights[more]).tolist()]
+        return self.rows.take(at, axis=0).min(axis=0)
+
+    def _room(self, pairs: int) -> None:
+        if self.used + pairs > len(self.rows):
+            self._forget()
+
+    def _of_large(self, words: list[bytes]) -> np.ndarray:
+        """A text with more words than are compared at once."""
+        counts = list(Counter(words).items())
+        best = None
+        for at in range(0, len(counts), BLOCK_ROWS):
+            part = counts[at : at + BLOCK_ROWS]
+            self._room(len(part))
+            bag = (
+                np.fromiter((self.numbers[w] for w, _ in part), np.int64, len(part)),
+                np.fromiter((n for _, n in part), np.int64, len(part)),
+            )
+            self._learn([bag])
+            own = self._least(*bag)
+            best = own if best is None else np.minimum(best, own)
+        return best
+
+    def fingerprints(self, texts: list[str]) -> list[np.ndarray | None]:
+        """16-bit codes of the samples of each text; None for a text without words."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        waiting: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            if len(words) > BLOCK_ROWS:
+                out[k] = self._of_large(words)
+                continue
+            if size + len(words) > GROUP_PAIRS:
+                self._fill(out, waiting)
+                waiting, size = [], 0
+            if words:
+                waiting.append((k, words))
+                size += len(words)
+        self._fill(out, waiting)
+        return [None if least is None else (least & np.uint64(0xFFFF)).astype(np.uint16) for least in out]
+
+    def _fill(self, out: list[np.ndarray | None], waiting: list[tuple[int, list[bytes]]]) -> None:
+        if not waiting:
+            return
+        self._room(sum(len(words) for _, words in waiting))
+        number = self.numbers.__getitem__
+        bags = [np.unique(np.fromiter(map(number, words), np.int64, len(words)), return_counts=True) for _, words in waiting]
+        self._learn(bags)
+        for (k, _), bag in zip(waiting, bags, strict=True):
+            out[k] = self._least(*bag)
 
     def fingerprint(self, text: str) -> np.ndarray | None:
-        """16-bit codes of the samples; None for a text without words."""
-        pairs = list(Counter(words_of(text)).items())
-        if not pairs:
-            return None
-        best, codes = None, None
-        for at in range(0, len(pairs), BLOCK_ROWS):
-            rows = self._rows(pairs[at : at + BLOCK_ROWS])
-            costs = self.costs[rows]
-            least = costs.argmin(axis=0)
-            own = costs[least, np.arange(self.samples)]
-            own_codes = self.codes[rows[least], np.arange(self.samples)]
-            if best is None:
-                best, codes = own, own_codes
-            else:
-                # Ties go to the first word, so the order within a text must not matter.
-                better = (own < best) | ((own == best) & (own_codes < codes))
-                best, codes = np.where(better, own, best), np.where(better, own_codes, codes)
-        return codes
+        return self.fingerprints([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -203,20 +283,25 @@ def fingerprints(
         sampler = sampler_for(samples)
         held: tuple | None = None
         for batch in batches:
+            ids, lasts = batch.column("doc_id").to_pylist(), batch.column("last").to_pylist()
+            texts = batch.column("text").to_pylist()
+            # What precedes each row, and the text that it edits.
+            before = [held[1] if held else None, *(None if last else t for last, t in zip(lasts[:-1], texts[:-1], strict=True))]
+            changes = [None if b is None else edited(b, t) for b, t in zip(before, texts, strict=True)]
+            other = [k for k, (b, c) in enumerate(zip(before, changes, strict=True)) if c is not None and c != b]
+            found = sampler.fingerprints(texts + [changes[k] for k in other])
+            after = dict(zip(other, found[len(texts) :], strict=True))
             out = []
-            for doc, last, text in zip(*[batch.column(c) for c in ("doc_id", "last", "text")], strict=True):
-                text = text.as_py()
-                own = sampler.fingerprint(text)
+            for k, (doc, last, text, own) in enumerate(zip(ids, lasts, texts, found, strict=False)):
                 if held is not None:
-                    doc_before, text_before, before = held
-                    changed = edited(text_before, text)
-                    after = before if changed == text_before else sampler.fingerprint(changed)
+                    doc_before, text_before, print_before = held
+                    changed = after.get(k, print_before)
                     out.append((
-                        doc_before, len(text_before), hashlib.sha256(changed.encode()).hexdigest(),
-                        as_text(before, samples), as_text(after, samples),
-                        likeness(before, after), likeness(before, own),
+                        doc_before, len(text_before), hashlib.sha256(changes[k].encode()).hexdigest(),
+                        as_text(print_before, samples), as_text(changed, samples),
+                        likeness(print_before, changed), likeness(print_before, own),
                     ))
-                held = None if last.as_py() else (doc.as_py(), text, own)
+                held = None if last else (doc, text, own)
             if out:
                 yield dict(zip(names, zip(*out, strict=True), strict=True))
 
