@@ -13,18 +13,16 @@ holds a 16-bit hash of each sample, and the likeness of two is the share of samp
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerpitch.llm.common import arrow_map, mb_partitions
-from ledgerpitch.llm.shingles import finish, words_of
+from ledgerpitch.llm.shingles import WordHashes, finish, words_of
 
 SAMPLES = 128
 #: (word, weight) pairs whose samples a worker remembers.
@@ -39,8 +37,10 @@ DRAWN = 128
 RANGES_EACH = 3
 _STREAMS = finish(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MASK = np.uint64((1 << 23) - 1)
-#: Bits of a weight beside a word's number.
-_WEIGHT_BITS = 32
+#: What a weight adds to the hash of a word to make the key of the pair.
+_WEIGHT_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Keys, hashes and weights of a text's words.
+Bag = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _unit(bits: np.ndarray) -> np.ndarray:
@@ -48,143 +48,135 @@ def _unit(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
-class _Numbers(dict):
-    """Consecutive numbers of words, with their 64-bit hashes."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return number
+def _gamma(bits: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) from the upper 48 bits."""
+    return -np.log(_unit(bits >> np.uint64(41)) * _unit(bits >> np.uint64(16) & _MASK))
 
 
 class Sampler:
     """Fingerprints under a fixed number of samples.
 
-    A row holds the samples of a (word, weight) pair, each as one number: cost first, then code. The
-    sample of a text is the least number over its rows, whatever their order.
+    The costs of a (word, weight) pair are remembered; a code is worked out only for the pair that
+    wins a sample. Of equal costs the pair with the lower hash wins, whatever the order of words.
     """
 
     def __init__(self, samples: int = SAMPLES, rows: int = CACHE_ROWS):
         self.samples = samples
-        self.rows = np.empty((rows, samples), np.uint64)
+        self.costs = np.empty((rows, samples), np.float32)
+        self.places: dict[int, int] = {}
+        self.hashes = WordHashes()
         self.offsets = finish(np.arange(samples, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.single = np.full(1024, -1, np.int64)
-        self.heavy: dict[int, int] = {}
-        self.used = 0
 
-    def draw(self, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, code of (word, t)) for each pair of a word's hash and a weight, and each sample.
+    def _draw(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """ln a for each pair of a word's hash and a weight, and each sample.
 
         Two hashes give five uniform numbers: two of 23 bits each, and b from the 16 bits left.
         """
         mixed = words[:, None] ^ self.offsets[None, :]
         one, two = finish(mixed + _STREAMS[0]), finish(mixed + _STREAMS[1])
-        r = -np.log(_unit(one >> np.uint64(41)) * _unit(one >> np.uint64(16) & _MASK))
-        c = -np.log(_unit(two >> np.uint64(41)) * _unit(two >> np.uint64(16) & _MASK))
+        r, c = _gamma(one), _gamma(two)
         b = (one & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
-        t = np.zeros_like(r)
+        cost = np.log(c) - r + r * b
         heavy = np.flatnonzero(weights > 1)
         if len(heavy):
             # At weight 1 the logarithm is 0, so t is floor(b) = 0.
-            t[heavy] = np.floor(np.log(weights[heavy])[:, None] / r[heavy] + b[heavy])
-        cost = np.log(c) - r * (t - b) - r
-        code = finish((mixed ^ one) + t.astype(np.int64).astype(np.uint64))
-        return cost, (code >> np.uint64(48)).astype(np.uint16)
-
-    def _remember(self, words: np.ndarray, weights: np.ndarray) -> None:
-        """Draw the samples of new pairs of a word's number and a weight."""
-        hashes = np.array([self.numbers.hashes[w] for w in words.tolist()], np.uint64)
-        for at in range(0, len(words), DRAWN):
-            part = slice(at, at + DRAWN)
-            cost, code = self.draw(hashes[part], weights[part].astype(np.float32))
-            # The bits of a float in the order of its value: negative ones turned round.
-            bits = cost.view(np.uint32)
-            bits = bits ^ np.where(bits >> np.uint32(31) != 0, np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
-            self.rows[self.used + at : self.used + at + len(cost)] = bits.astype(np.uint64) << np.uint64(16) | code
-        self.used += len(words)
-
-    def _learn(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Remember every pair of the bags (numbers, weights), all missing ones at once."""
-        if len(self.numbers) > len(self.single):
-            grown = np.full(2 * len(self.numbers), -1, np.int64)
-            grown[: len(self.single)] = self.single
-            self.single = grown
-        words, weights = (np.concatenate([bag[k] for bag in bags]) for k in (0, 1))
-        light = np.unique(words[weights == 1])
-        light = light[self.single[light] < 0]
-        self.single[light] = np.arange(self.used, self.used + len(light))
-        self._remember(light, np.ones(len(light), np.int64))
-        more = weights > 1
-        pairs = np.unique(words[more] << _WEIGHT_BITS | weights[more]).tolist()
-        new = [pair for pair in pairs if pair not in self.heavy]
-        self.heavy.update(zip(new, range(self.used, self.used + len(new)), strict=True))
-        found = np.array(new, np.int64)
-        self._remember(found >> _WEIGHT_BITS, found & ((1 << _WEIGHT_BITS) - 1))
-
-    def _least(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The least number of each sample over a bag whose pairs are remembered."""
-        at = self.single[words]
-        more = np.flatnonzero(weights > 1)
-        if len(more):
-            at[more] = [self.heavy[pair] for pair in (words[more] << _WEIGHT_BITS | weights[more]).tolist()]
-        return self.rows.take(at, axis=0).min(axis=0)
-
-    def _room(self, pairs: int) -> None:
-        if self.used + pairs > len(self.rows):
-            self._forget()
-
-    def _of_large(self, words: list[bytes]) -> np.ndarray:
+            cost[heavy] -= r[heavy] * self._level(weights[heavy][:, None], r[heavy], b[heavy])
+        return cost
+
+    @staticmethod
+    def _level(weights: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(weights.astype(np.float32)) / r + b)
+
+    def _codes(self, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """16-bit codes of (word, t) of the pairs that won the samples, in order of the samples."""
+        mixed = words ^ self.offsets
+        one = finish(mixed + _STREAMS[0])
+        t = np.zeros(self.samples, np.uint64)
+        heavy = np.flatnonzero(weights > 1)
+        if len(heavy):
+            own = one[heavy]
+            b = (own & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+            t[heavy] = self._level(weights[heavy], _gamma(own), b).astype(np.int64).astype(np.uint64)
+        return (finish((mixed ^ one) + t) >> np.uint64(48)).astype(np.uint16)
+
+    def _learn(self, bags: list[Bag]) -> None:
+        """Remember every pair of the bags, all missing ones at once."""
+        keys, words, weights = (np.concatenate([bag[k] for bag in bags]) for k in range(3))
+        keys, first = np.unique(keys, return_index=True)
+        listed = keys.tolist()
+        new = np.array([k for k, key in enumerate(listed) if key not in self.places], np.int64)
+        if len(self.places) + len(new) > len(self.costs):
+            self.places.clear()
+            new = np.arange(len(listed))
+        start = len(self.places)
+        at = first[new]
+        for k in range(0, len(new), DRAWN):
+            part = at[k : k + DRAWN]
+            self.costs[start + k : start + k + len(part)] = self._draw(words[part], weights[part])
+        self.places.update(zip(keys[new].tolist(), range(start, start + len(new)), strict=True))
+
+    def _winners(self, bag: Bag) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least cost of each sample over remembered pairs, with the winning word and weight."""
+        keys, words, weights = bag
+        costs = self.costs.take(np.fromiter(map(self.places.__getitem__, keys.tolist()), np.int64, len(keys)), axis=0)
+        least = costs.min(axis=0)
+        flat = np.flatnonzero((costs == least).ravel())
+        at, sample = np.divmod(flat, self.samples)
+        if len(flat) == self.samples:
+            won = np.empty(self.samples, np.int64)
+            won[sample] = at
+        else:
+            won = at[np.unique(sample, return_index=True)[1]]
+        return least, words[won], weights[won]
+
+    def _bag(self, words: list[bytes]) -> Bag:
+        """Keys, hashes and weights of the distinct words, in order of the hashes."""
+        hashes, weights = np.unique(self.hashes.of(words), return_counts=True)
+        return hashes + (weights.astype(np.uint64) - np.uint64(1)) * _WEIGHT_STEP, hashes, weights
+
+    def _of(self, bags: list[Bag]) -> list[np.ndarray]:
+        if not bags:
+            return []
+        self._learn(bags)
+        return [self._codes(*self._winners(bag)[1:]) for bag in bags]
+
+    def _of_large(self, bag: Bag) -> np.ndarray:
         """A text with more words than are compared at once."""
-        counts = list(Counter(words).items())
         best = None
-        for at in range(0, len(counts), BLOCK_ROWS):
-            part = counts[at : at + BLOCK_ROWS]
-            self._room(len(part))
-            bag = (
-                np.fromiter((self.numbers[w] for w, _ in part), np.int64, len(part)),
-                np.fromiter((n for _, n in part), np.int64, len(part)),
-            )
-            self._learn([bag])
-            own = self._least(*bag)
-            best = own if best is None else np.minimum(best, own)
-        return best
+        for at in range(0, len(bag[0]), BLOCK_ROWS):
+            part = tuple(column[at : at + BLOCK_ROWS] for column in bag)
+            self._learn([part])
+            own = self._winners(part)
+            better = own[0] < best[0] if best is not None else np.ones(self.samples, bool)
+            best = own if best is None else tuple(np.where(better, a, b) for a, b in zip(own, best, strict=True))
+        return self._codes(*best[1:])
 
     def fingerprints(self, texts: list[str]) -> list[np.ndarray | None]:
         """16-bit codes of the samples of each text; None for a text without words."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[bytes]]] = []
+        waiting: dict[int, Bag] = {}
         size = 0
+
+        def fill() -> None:
+            for k, codes in zip(waiting, self._of(list(waiting.values())), strict=True):
+                out[k] = codes
+            waiting.clear()
+
         for k, text in enumerate(texts):
             words = words_of(text)
-            if len(words) > BLOCK_ROWS:
-                out[k] = self._of_large(words)
+            if not words:
                 continue
-            if size + len(words) > GROUP_PAIRS:
-                self._fill(out, waiting)
-                waiting, size = [], 0
-            if words:
-                waiting.append((k, words))
-                size += len(words)
-        self._fill(out, waiting)
-        return [None if least is None else (least & np.uint64(0xFFFF)).astype(np.uint16) for least in out]
-
-    def _fill(self, out: list[np.ndarray | None], waiting: list[tuple[int, list[bytes]]]) -> None:
-        if not waiting:
-            return
-        self._room(sum(len(words) for _, words in waiting))
-        number = self.numbers.__getitem__
-        bags = [np.unique(np.fromiter(map(number, words), np.int64, len(words)), return_counts=True) for _, words in waiting]
-        self._learn(bags)
-        for (k, _), bag in zip(waiting, bags, strict=True):
-            out[k] = self._least(*bag)
+            bag = self._bag(words)
+            if len(bag[0]) > BLOCK_ROWS:
+                out[k] = self._of_large(bag)
+                continue
+            if size + len(bag[0]) > GROUP_PAIRS:
+                fill()
+                size = 0
+            waiting[k] = bag
+            size += len(bag[0])
+        fill()
+        return out
 
     def fingerprint(self, text: str) -> np.ndarray | None:
         return self.fingerprints([text])[0]
