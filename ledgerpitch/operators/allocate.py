@@ -54,6 +54,19 @@ def largest_remainder(
     ``total`` is a column that is the same for all rows of a group, below 10^12. The units of every
     group add up to its total, for weights of any size; a group for which they do not raises.
     """
+    given = durable(_split(df, keys, order, weight, total, name))
+    _check_totals(given, keys, name, total)
+    return given
+
+
+def _check_totals(given: DataFrame, keys: Sequence[str], name: str, total: str) -> None:
+    wrong = given.groupBy(*keys).agg(F.sum(name).alias("_given"), F.first(total).alias("_total"))
+    if wrong.filter(F.col("_given") != F.col("_total")).limit(1).count():
+        raise ValueError("the units of a group do not add up to its total")
+
+
+def _split(df: DataFrame, keys: Sequence[str], order: str, weight: str, total: str, name: str) -> DataFrame:
+    """The rows with their units, of which only the shares before rounding are written."""
     whole_total = F.col(total).cast("decimal(12,0)")
     shared = _scaled(df, keys, weight).withColumn("_product", whole_total * F.col("_whole"))
     # Integer division and remainder are exact; fractions are compared by the remainder alone.
@@ -65,17 +78,12 @@ def largest_remainder(
         (F.first(total) - F.sum("_floor")).cast("long").alias("_missing")
     )
     placed = positions(shared, keys, [F.col("_fraction").desc(), F.col(order).asc()], "_place")
-    given = attach(placed, missing, keys).select(
+    return attach(placed, missing, keys).select(
         *df.columns,
         (F.col("_floor") + F.when(F.col("_place") <= F.col("_missing"), 1).otherwise(0))
         .cast("long")
         .alias(name),
     )
-    given = durable(given)
-    wrong = given.groupBy(*keys).agg(F.sum(name).alias("_given"), F.first(total).alias("_total"))
-    if wrong.filter(F.col("_given") != F.col("_total")).limit(1).count():
-        raise ValueError("the units of a group do not add up to its total")
-    return given
 
 
 def capped_allocation(
@@ -89,8 +97,9 @@ def capped_allocation(
 ) -> DataFrame:
     """Largest remainder under a cap per row, repeated on the open rows until all is placed.
 
-    Every round serves all groups at once and writes its state, so a round neither gathers a group
-    nor grows the lineage. Rows at their cap leave the rounds.
+    Every round serves all groups at once and writes what its rows take, so a round neither gathers
+    a group nor grows the lineage. Rows at their cap leave the rounds. Each round rounds to whole
+    units, and later rounds start from these, so no closed form gives the same units.
     """
     checked = df.groupBy(*keys).agg(
         F.sum(capacity).alias("_room"), F.first(total).alias("_need")
@@ -114,26 +123,26 @@ def capped_allocation(
         finished.append(state.filter((F.col("_got") >= F.col("_cap")) | (F.col("_left") <= 0)))
         if open_rows.isEmpty():
             break
-        proposed = largest_remainder(open_rows, keys, order, "_w", "_left", "_offer")
+        proposed = _split(open_rows, keys, order, "_w", "_left", "_offer")
         taken = proposed.withColumn(
             "_taken", F.least(F.col("_offer"), F.col("_cap") - F.col("_got"))
         )
         taken = durable(taken)
         placed = taken.groupBy(*keys).agg(F.sum("_taken").alias("_placed"))
-        state = durable(
-            attach(taken, placed, keys).select(
-                *keys,
-                order,
-                "_w",
-                "_cap",
-                (F.col("_got") + F.col("_taken")).alias("_got"),
-                (F.col("_left") - F.col("_placed")).alias("_left"),
-            )
+        state = attach(taken, placed, keys).select(
+            *keys,
+            order,
+            "_w",
+            "_cap",
+            (F.col("_got") + F.col("_taken")).alias("_got"),
+            (F.col("_left") - F.col("_placed")).alias("_left"),
         )
     union = finished[0]
     for part in finished[1:]:
         union = union.unionByName(part)
-    return attach(df, union.select(*keys, order, F.col("_got").alias(name)), [*keys, order])
+    given = durable(attach(df, union.select(*keys, order, F.col("_got").alias(name)), [*keys, order]))
+    _check_totals(given, keys, name, total)
+    return given
 
 
 def tiers(
