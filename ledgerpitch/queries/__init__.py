@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerpitch.queries import features, links, money, responses, states, storage, values
+from ledgerpitch.queries import features, links, money, publication, responses, states, storage, values
 
-MODULES = (features, states, money, values, links, storage, responses)
+MODULES = (features, states, money, values, links, storage, responses, publication)
 
 
 def all_queries() -> dict:
