@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +126,12 @@ def mentions_of(text: str, base: list[Span]) -> list[Mention]:
             number(start, end)
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
+    # Base spans of different kinds may overlap: the furthest end of any that starts before counts.
+    reach = list(accumulate((e for _, e in taken), max))
 
     def free(start: int, end: int) -> bool:
-        at = int(np.searchsorted(starts, end))
-        # Base spans of different kinds may overlap; the few before are all looked at.
-        return not any(e > start for _, e in taken[max(0, at - 8) : at])
+        at = bisect_left(starts, end)
+        return not at or reach[at - 1] <= start
 
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):

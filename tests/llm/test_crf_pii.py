@@ -103,3 +103,11 @@ def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     assert [(r["text"], r["n_chars"]) for r in texts] == [("no id at all here, mail [EMAIL]", 31)]
     assert pii.redacted("ab 1234 cd", [("card", 3, 7), ("phone", 5, 9)]) == "ab [CARD]d"
     assert pii.redact(no_docs).count() == 0
+
+
+def test_no_mention_lies_inside_a_base_span_however_far_it_starts():
+    text = "1.1.1.1_" * 40 + "1234567_a@b.org"
+    base = naive(text)
+    assert ("email", 0, len(text)) in base
+    spans = {(s, e) for _, s, e in base}
+    assert {(m.start, m.end) for m in pii.mentions_of(text, base)} == spans
