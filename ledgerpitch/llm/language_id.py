@@ -25,6 +25,9 @@ from ledgerpitch.llm.common import arrow_map, durable, free_name, rows_without,
 from ledgerpitch.llm.shingles import finish
 
 UNKNOWN = "und"
+#: Declared languages with a model of their own, those of most texts; the others share one, which
+#: stands under this name.
+MODELS, OTHER = 128, "other"
 #: Rows of each declared language that the trigram model is counted on, those of least hash.
 FIT_ROWS = 4000
 BUCKETS = 1 << 16
@@ -100,9 +103,14 @@ class Model:
 def fit(evidence: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Count trigrams on at most ``fit_rows`` whole texts of each declared language.
 
-    The driver gets at most one row per language and bucket; the model takes 256 KB a language.
+    Any string may be declared, so only the ``MODELS`` languages of most texts have a model of their
+    own, ties by name; all others share the model ``OTHER``. The driver gets at most one row per
+    model and bucket; a model takes 256 KB.
     """
-    labelled = evidence.filter("declared is not null").select("declared", "text")
+    declared = evidence.filter("declared is not null").select("declared", "text")
+    ranked = declared.groupBy("declared").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    named = [r["declared"] for r in ranked.orderBy(F.col("n").desc(), "declared").limit(MODELS).collect()]
+    labelled = declared.withColumn("declared", F.when(F.col("declared").isin(named), F.col("declared")).otherwise(OTHER))
     sample = sample_by_hash(labelled, fit_rows, "text", by="declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -155,8 +163,9 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
     """Add ``language``, ``posterior``, ``text_language`` and ``kept`` to rows of evidence.
 
     ``evidence`` has ``text``, ``declared``, ``suffix``, ``host`` and ``domain``, all strings that
-    may be null, besides columns of its own, which come back unchanged. Evidence that is null is
-    left out. A text without letters (null, empty, digits) or unlike every known language has the
+    may be null, besides columns of its own, which come back unchanged; one that has the name of a
+    result comes back with an underscore in front. Evidence that is null is left out. A text that is
+    most like the pooled rare languages has its declared one, or ``other`` where none is declared. A text without letters (null, empty, digits) or unlike every known language has the
     language ``und``; it is not kept, nor is a row whose best posterior is below one half. But a text
     with letters that is unlike every known language has its declared one, with a posterior of one
     half, and is kept, if too few texts declare that language to know it by its trigrams. Ties go
@@ -165,7 +174,11 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(evidence.withColumn("text", F.coalesce("text", F.lit(""))))
     n = len(model.languages)
-    own = [c for c in evidence.columns if c not in ("text", "declared", "suffix", "host", "domain")]
+    # The caller's columns travel in one, so that their names cannot meet those used here.
+    names_own = [c for c in evidence.columns if c not in ("text", "declared", "suffix", "host", "domain")]
+    own = ["caller_row"]
+    packed = F.struct(*(F.col(f"`{c}`") for c in names_own)) if names_own else F.struct(F.lit(0).alias("none"))
+    evidence = evidence.select(packed.alias("caller_row"), "text", "declared", "suffix", "host", "domain")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -217,14 +230,21 @@ def identify(evidence: DataFrame, model: Model | None = None) -> DataFrame:
         fused = F.zip_with(fused, part, lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in model.languages])
     posteriors = joined.withColumn("chances", _normal(fused))
+    results = ("language", "posterior", "text_language", "kept")
+    callers = []
+    for name in names_own:
+        taken = [*results, *(c for c in names_own if c != name)]
+        callers.append(F.col("caller_row").getField(name).alias(free_name(taken, name) if name.lower() in results else name))
     best = F.array_max("chances")
     known = F.col("known") & F.lit(model.languages != [UNKNOWN])
     # Only the declaration speaks of a language that is too rare for its trigrams to be known.
     declared = F.col("declared")
     trusted = F.coalesce(~F.col("known") & F.col("letters") & ~declared.isin(list(model.sure)), F.lit(False))
+    likeliest = F.element_at(names, F.array_position("chances", best).cast("int"))
+    named = F.when(likeliest == OTHER, F.coalesce(declared, likeliest)).otherwise(likeliest)
     return posteriors.select(
-        *own,
-        F.when(known, F.element_at(names, F.array_position("chances", best).cast("int"))).when(trusted, declared).otherwise(UNKNOWN).alias("language"),
+        *callers,
+        F.when(known, named).when(trusted, declared).otherwise(UNKNOWN).alias("language"),
         F.when(known, best).when(trusted, LEAST_POSTERIOR).otherwise(0.0).alias("posterior"),
         F.when(known, F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int"))).otherwise(UNKNOWN).alias("text_language"),
         ((known & (best >= LEAST_POSTERIOR)) | trusted).alias("kept"),
@@ -243,11 +263,16 @@ def _text(column: Column) -> Column:
 
 
 def document_evidence(docs: DataFrame, own: list[str]) -> DataFrame:
-    """Documents with their declared language and their source as the host; they have no address."""
-    nothing = F.lit(None).cast("string")
+    """Documents with their declared language and their source as the host; they have no address.
+
+    The domain is what sources have in common: the last two parts of a name with dots, else the
+    name without the number at its end. Nulls stay nulls.
+    """
+    source = _text(F.col("source"))
+    domain = F.when(source.contains("."), F.substring_index(source, ".", -2)).otherwise(F.nullif(F.regexp_replace(source, "[0-9]+$", ""), F.lit("")))
     return docs.select(
         *own, _text(F.col("text")).alias("text"), F.nullif(_text(F.col("lang")), F.lit("")).alias("declared"),
-        nothing.alias("suffix"), _text(F.col("source")).alias("host"), nothing.alias("domain"),
+        F.lit(None).cast("string").alias("suffix"), source.alias("host"), domain.alias("domain"),
     )
 
 
@@ -274,10 +299,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose language is identified.
 
-    A row comes back by its own number, so null and repeated ids stay what they are.
+    Rows are told apart by 128 bits over their evidence and over which of it is null, so null and
+    repeated ids stay what they are; rows that are equal in all evidence have equal verdicts. A null
+    or empty text goes, repeated rows stay repeated, texts of any length are read whole, and an
+    empty table gives no rows.
     """
     key = free_name(docs.columns, "row_key")
-    numbered = docs.withColumn(key, F.xxhash64(*[F.col(c) for c in ("doc_id", "text", "lang", "source")]))
+    parts = [c for name in ("doc_id", "text", "lang", "source") for c in (F.col(name).isNull(), F.col(name))]
+    numbered = docs.withColumn(key, F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2))))
     verdicts = identify(document_evidence(numbered, [key])).filter("not kept").select(key).distinct()
     # Rows that are equal in all evidence have equal verdicts, so few keys name what goes.
     return rows_without(numbered, verdicts, key).select(*docs.columns)
