@@ -107,7 +107,8 @@ def normalize_name(value: Column) -> Column:
     )
     plain = F.when(value.rlike(MAYBE_SEVERAL), spelled_out).otherwise(value)
     plain = F.translate(plain, "".join(ONE_LETTER), "".join(ONE_LETTER.values()))
-    plain = F.regexp_replace(plain, COMBINING_MARKS, "")
+    # The class of all marks is long; the first of them is U+0300, and most texts stay below.
+    plain = F.when(value.rlike("[^\\x00-\\x{2ff}]"), F.regexp_replace(plain, COMBINING_MARKS, "")).otherwise(plain)
     single = {letter: text for letter, text in SPECIAL_LETTERS.items() if len(text) == 1}
     plain = F.translate(plain, "".join(single), "".join(single.values()))
     for letter, spelling in SPECIAL_LETTERS.items():
