@@ -206,7 +206,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     ``formatted`` holds the columns of ``format_turns`` with each conversation in one partition in
     the order of place. The text is parsed as one stream; the fragment borders are not used. The
-    loss mask selects text by its code points in the whole conversation.
+    loss mask selects text by its code points in the whole conversation. Null texts were formatted
+    as empty ones; no conversations give no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

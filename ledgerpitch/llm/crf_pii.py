@@ -353,7 +353,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with all columns, personal data in the text replaced and the length column renewed.
 
-    Null texts stay null. Every row stays.
+    Null texts stay null. Every row stays, repeated ones and those without an id too; texts of any
+    length are read whole, and an empty table gives no rows.
     """
     model = model or fit(docs, text_col)
 

@@ -233,7 +233,12 @@ def without_benchmark(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no benchmark item."""
+    """The rows of ``docs``, with all their columns, whose text holds no benchmark item.
+
+    A null or empty text holds none, so its row stays. Rows are judged one by one, so repeated rows
+    and null ids do not matter; texts of any length are read whole. An empty benchmark keeps every
+    row, an empty table gives no rows.
+    """
     for items in _passes(benchmark, item_col, item_text_col):
         index = docs.sparkSession.sparkContext.broadcast(Benchmark.build(items))
 

@@ -281,6 +281,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
     The suffix is the first path segment if it has two letters, else the last part of the host;
     the domain is the last two parts of the host. The text is the markup without tags and scripts.
+    A null url has no suffix, host or domain, a null html no text or declared language. Every row
+    of ``pages`` gives one row, other columns are not carried.
     """
     url, html = _text(F.col("url")), _text(F.col("html"))
     host = F.lower(F.nullif(F.regexp_extract(url, r"(?s)^.*?://([^/?#:]*)", 1), F.lit("")))

@@ -392,7 +392,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     """The rows of ``docs``, with all their columns, of which each near-duplicate group keeps one.
 
     The one with the least id stays. Of rows that repeat both id and text one stays; a row with a
-    null id always stays.
+    null id always stays. A null or empty text is in no group. Other columns are those of the row
+    that stays; an empty table gives no rows.
     """
     verdicts = durable(near_duplicates(docs, percent, id_col, text_col))
     gone = verdicts.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()

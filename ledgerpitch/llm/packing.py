@@ -242,7 +242,11 @@ def pieces(
     end_id: int = END_ID,
     with_ids: bool = False,
 ) -> DataFrame:
-    """Encoded pieces with their task and their rank among the task's pieces of that length."""
+    """Encoded pieces with their task and their rank among the task's pieces of that length.
+
+    A null text is the empty one, a single piece of the end token. Every row has pieces of its own,
+    also rows with null or repeated ids; an empty table gives none.
+    """
     path = public_tokenizers.path(tokenizer_file)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")

@@ -256,7 +256,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload), one row per record.
 
     Archives are binary files, one row each, decoded frame by frame. ``payload`` is null for a
-    revisit. Damaged archives raise.
+    revisit and empty where the page had no html. Records come back as often as they were written.
+    Damaged archives raise.
     """
     files = spark.read.format("binaryFile").load(folder).select("content")
 
@@ -294,6 +295,7 @@ def page_records(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records read back.
 
     A revisit takes its payload size from the response it refers to, found by page and digest.
+    Every record gives one row, so repeated page ids stay repeated; no records give no rows.
     """
     slim = durable(
         records.select(
