@@ -15,27 +15,33 @@ from ledgerpitch.llm.common import shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified (operator 8)."""
+    """Documents whose language is identified (operator 8).
+
+    Null and empty texts have no language and go; repeated rows and null ids are judged as they are.
+    """
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (operator 10)."""
+    """One document of each near-duplicate group (operator 10), linked from 85 % as the query op10 does.
+
+    The one with the least id stays; rows with a null id and texts without words stay.
+    """
     return lsh_forest.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark item (operator 9)."""
+    """Documents without any benchmark item (operator 9); null and empty texts stay."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind (operator 1)."""
+    """All documents, personal data replaced by its kind (operator 1); null texts stay null."""
     return crf_pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into training sequences (operator 4)."""
+    """All documents packed into training sequences (operator 4); a null text is the empty one."""
     return packing.pack_documents(docs)
 
 
