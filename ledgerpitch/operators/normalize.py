@@ -210,7 +210,8 @@ def fixture_details(embedded: DataFrame, separate: DataFrame) -> DataFrame:
     own = embedded.select(
         to_int(F.col("fixture.id")).alias("fixture_id"),
         complete.alias("_complete"),
-        *[F.col(name).alias(f"_own_{name}") for name in DETAILS],
+        # Lists of which one is missing are never taken, so they do not travel to the join.
+        *[F.when(complete, F.col(name)).alias(f"_own_{name}") for name in DETAILS],
     )
     return own.join(separate, "fixture_id", "left").select(
         "fixture_id",

@@ -26,21 +26,44 @@ def _struct(**fields) -> Column:
 
 
 def _landed(spark: SparkSession, rows: DataFrame, schema, name: str) -> DataFrame:
-    """Entries of responses; ``rows`` has an entry and the key that deals it to a file."""
+    """Entries of responses; ``rows`` has an entry and the key that deals it to a file, or that file.
+
+    Responses are mostly names of fields, so they are stored as gzip.
+    """
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    answers = rows.groupBy(F.floor(F.col("key") / KEYS_PER_FILE).alias("file")).agg(F.collect_list("entry").alias("response"))
+    file = F.col("file") if "file" in rows.columns else _file("key").alias("file")
+    answers = rows.groupBy(file).agg(F.collect_list("entry").alias("response"))
     body = F.to_json(
         F.array(_struct(results=F.size("response"), paging=_struct(current=F.lit(1), total=F.lit(1)), response=F.col("response")))
     )
-    answers.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    answers.select(body.alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
     return normalize.entries(raw.read_responses(spark, folder, schemas.response(schema)))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order with its lines in a fixed order."""
+def _file(key: str) -> Column:
+    return F.floor(F.col(key) / KEYS_PER_FILE)
+
+
+def _lines(spark: SparkSession, sf_dir: str, wanted: str = "true") -> DataFrame:
+    """Each wanted order with its lines in a fixed order and the file it goes to.
+
+    Orders and lines are dealt once, by that file, so that neither their join nor the landing has to
+    move what is made of them.
+    """
     line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount")
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return read(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), line.alias("line"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority").alias("order"))
+    return (
+        lines.unionByName(orders, allowMissingColumns=True)
+        .filter(F.col("o_orderkey").isNotNull() & F.expr(wanted))
+        .withColumn("file", _file("o_orderkey"))
+        .repartition("file")
+        .groupBy("file", "o_orderkey")
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"), F.collect_list("order").alias("orders"))
+        .filter(F.size("lines") > 0)
+        .select("file", "o_orderkey", "lines", F.explode("orders").alias("order"))
+        .select("file", "o_orderkey", "order.*", "lines")
+    )
 
 
 def player_season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +245,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         score=_struct(halftime=_struct(home=F.lit(None).cast("string"), away=F.lit("1"))),
         **shown,
     )
-    return _landed(spark, _lines(spark, sf_dir).select(key.alias("key"), entry.alias("entry")), schemas.FIXTURE, "matches")
+    return _landed(spark, _lines(spark, sf_dir).select("file", entry.alias("entry")), schemas.FIXTURE, "matches")
 
 
 def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +271,7 @@ def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail lists by source: odd matches take those of the separate responses, of team 6."""
     lists = _details(_text(F.lit(6)))
     entry = _struct(fixture=_struct(id=_text("o_orderkey")), **lists)
-    apart = _landed(spark, _lines(spark, sf_dir).filter("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("key"), entry.alias("entry")), schemas.FIXTURE, "details")
+    apart = _landed(spark, _lines(spark, sf_dir, "o_orderkey % 2 = 1").select("file", entry.alias("entry")), schemas.FIXTURE, "details")
     separate = apart.select(F.col("fixture.id").cast("int").alias("fixture_id"), *normalize.DETAILS)
     return normalize.fixture_details(_matches(spark, sf_dir), separate)
 
