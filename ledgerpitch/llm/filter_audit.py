@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerpitch.llm.common import arrow_map, durable, mb_partitions
-from ledgerpitch.session import max_broadcast_rows
 
 #: The filters, by bit: few words, few distinct words, shouting, symbols, duplicates.
 LETTERS = "ABCDE"
@@ -158,29 +157,34 @@ def _first_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def prefix_cells(texts: DataFrame, total: int, partitions: int) -> DataFrame:
     """``texts`` with the column ``cell``: the shortest of the prefix lengths at which the rows that
-    share it hold no more bytes than a cell should, or the whole text."""
-    spark = texts.sparkSession
+    share it hold no more bytes than a cell should, or the whole text.
+
+    Heavy prefixes of a length are at most CELLS * partitions, so their hashes are a short list, and
+    rows are told by it without a join. A prefix that shares its hash with a heavy one may grow
+    needlessly; equal texts always get equal cells.
+    """
     most = max(1, total // (CELLS * partitions))
     size, depth = F.octet_length("text"), FIRST_PREFIX
-    cells = texts.withColumns({"cell": F.substring("text", 1, depth), "open": F.lit(True)})
+    open_, grown = F.lit(True), []
     while True:
-        heavy = durable(
-            cells.filter("open")
-            .groupBy("cell")
+        start = F.substring("text", 1, depth)
+        heavy = (
+            texts.filter(open_)
+            .groupBy(F.xxhash64(start).alias("start"))
             .agg(F.sum(size).alias("bytes"), F.max(F.length("text")).alias("longest"))
             .filter((F.col("bytes") > most) & (F.col("longest") > depth))
-            .select(F.col("cell").alias("heavy"))
+            .select("start")
+            .collect()
         )
-        n = heavy.count()
-        if not n:
-            return cells.drop("open")
-        if n <= max_broadcast_rows(spark):
-            heavy = F.broadcast(heavy)
+        if not heavy:
+            break
+        open_ = F.xxhash64(start).isin([r["start"] for r in heavy])
+        grown.append((open_, start))
         depth *= LONGER
-        cells = cells.join(heavy, F.col("open") & (F.col("cell") == F.col("heavy")), "left").withColumns({
-            "open": F.col("heavy").isNotNull(),
-            "cell": F.when(F.col("heavy").isNotNull(), F.substring("text", 1, depth)).otherwise(F.col("cell")),
-        }).drop("heavy")
+    cell = F.substring("text", 1, depth)
+    for heavy_here, start in reversed(grown):
+        cell = F.when(heavy_here, cell).otherwise(start)
+    return texts.withColumn("cell", cell)
 
 
 def _shared_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -131,3 +131,13 @@ def test_trie_holds_every_text_once():
         groups.setdefault(text, []).append(k)
     assert sorted(t.keys for t in trie.terminals()) == sorted(groups.values())
     assert all(t.least == min(t.keys) for t in trie.terminals())
+
+
+def test_cells_grow_without_a_join(spark):
+    start = "the opening of all of them, which is far longer than a first prefix " * 40
+    texts = spark.createDataFrame([(k, start + str(k)) for k in range(300)] + [(900, ""), (901, "ab")], "node long, text string")
+    cells = filter_audit.prefix_cells(texts, 300 * len(start), 8)
+    assert "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["node"]: r["cell"] for r in cells.collect()}
+    assert len(found) == 302 and found[900] == "" and found[901] == "ab"
+    assert len({found[k] for k in range(300)}) == 300
