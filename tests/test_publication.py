@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerpitch.operators import commits
+from ledgerpitch.queries import publication
 from ledgerpitch.sources import exports, raw
 
 
@@ -86,3 +87,11 @@ def test_an_empty_diff_is_one_header_line(spark, tmp_path):
     diff = spark.createDataFrame([], "change_type string, role string, name string")
     exports.export_diff(diff, str(tmp_path))
     assert [p.read_text() for p in (tmp_path / "diff_csv").glob("part-*")] == ["change_type\n"]
+
+
+def test_bodies_are_landed_by_many_tasks(spark, tmp_path):
+    bodies = spark.range(200).selectExpr("id as file", "concat('{\"response\":[', id, ']}') as value").coalesce(1)
+    publication._land(bodies, f"{tmp_path}/landed", compression="gzip")
+    found = sorted(tmp_path.glob("landed/file=*/part-*.txt.gz"))
+    assert [p.parent.name for p in found] == sorted(f"file={k}" for k in range(200))
+    assert len({p.name.split("-")[1] for p in found}) > spark.sparkContext.defaultParallelism
