@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerpitch.operators.upsert import replace_children
+from ledgerpitch.operators.upsert import hashed_keys, replace_children
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def stage_children(root: str, name: str, table: Table, new: DataFrame, parents:
     touched: set[str] = set()
     if table.files:
         holding = old.select(key, F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
-        touched = {r["file"] for r in holding.join(parents.select(key).distinct(), key, "left_semi").select("file").distinct().collect()}
+        touched = {r["file"] for r in holding.join(hashed_keys(parents, key), key, "left_semi").select("file").distinct().collect()}
     kept = tuple(f for f in table.files if f.rsplit("/", 1)[-1] not in touched)
     changed = read(spark, Table(table.schema, tuple(f for f in table.files if f not in kept)))
     added = stage(root, name, replace_children(changed, new.select(*changed.columns), parents, key))

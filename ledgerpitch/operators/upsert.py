@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerpitch.operators.latest import first_rows
-from ledgerpitch.session import durable
+from ledgerpitch.session import durable, max_broadcast_rows
+
+#: Keys that the hash table of one task may hold before they are dealt over more partitions.
+KEYS_PER_TASK = 1_000_000
 
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
@@ -50,9 +53,27 @@ def insert_ignore(
     return old.unionByName(fresh)
 
 
+def hashed_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of the rows, as the right side of a semi or anti join.
+
+    The left side passes by a hash table of the keys instead of being sorted in its tasks. Up to the
+    session's limit the keys are broadcast. More are dealt with the left side, over more partitions
+    than the session's where these would hold more than ``KEYS_PER_TASK`` keys each, because a hash
+    table is not spilled. The rows are counted first, which runs a job.
+    """
+    spark, keys = rows.sparkSession, rows.select(key)
+    n = keys.count()
+    if n <= max_broadcast_rows(spark):
+        return F.broadcast(keys.distinct())
+    partitions = -(-n // KEYS_PER_TASK)
+    if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        keys = keys.repartition(partitions, key)
+    return keys.distinct().hint("shuffle_hash")
+
+
 def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Drop every child of the given parents and add the new children."""
-    return old.join(parents.select(key).distinct(), key, "left_anti").unionByName(new)
+    return old.join(hashed_keys(parents, key), key, "left_anti").unionByName(new)
 
 
 def without(old: DataFrame, removed: DataFrame, keys: Sequence[str]) -> DataFrame:

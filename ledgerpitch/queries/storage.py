@@ -70,7 +70,7 @@ def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("o_orderkey").alias("l_orderkey"))
     )
     merged = (
-        lines.join(parents, "l_orderkey", "left_semi")
+        lines.join(upsert.hashed_keys(parents, "l_orderkey"), "l_orderkey", "left_semi")
         .groupBy("l_orderkey")
         .agg(F.lit(0).alias("l_linenumber"), F.sum("l_quantity").alias("l_quantity"))
     )

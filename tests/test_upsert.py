@@ -75,3 +75,33 @@ def test_a_table_without_a_key_is_never_ordered_in_one_task(spark, monkeypatch):
     assert seen == [100]
     numbered = plain(rows.withColumn("_all", F.lit(1)), ["_all"], [F.col("id")], "place", 100)
     assert numbered.filter("place = id + 1").count() == 3000
+
+
+def plan_of(df):
+    df.collect()  # the adaptive plan is final after a run
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast_rows, keys_per_task", [(10, 1_000_000), (10, 25), (1000, 1_000_000)])
+def test_children_are_replaced_without_sorting_them(spark, monkeypatch, broadcast_rows, keys_per_task):
+    monkeypatch.setattr(upsert, "KEYS_PER_TASK", keys_per_task, raising=False)
+    old = spark.range(4000).select(F.when(F.col("id") % 40 != 39, F.col("id") % 1000).alias("parent"), F.col("id").alias("child"))
+    parents = spark.range(600).select(F.when(F.col("id") % 50 != 49, F.col("id") % 300 * 3).alias("parent"))
+    new = spark.createDataFrame([(3, -1), (3, -1), (5000, -2), (None, -3)], "parent long, child long")
+    gone = {i % 300 * 3 for i in range(600) if i % 50 != 49}
+    rows = [(None if i % 40 == 39 else i % 1000, i) for i in range(4000)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.ledgerpitch.maxBroadcastRows", str(broadcast_rows))
+    try:
+        got = upsert.replace_children(old, new, parents, "parent")
+        plan = plan_of(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.ledgerpitch.maxBroadcastRows")
+    assert "SortMergeJoin" not in plan
+    assert ("BroadcastHashJoin" if broadcast_rows == 1000 else "ShuffledHashJoin") in plan
+    # 600 rows by 25 keys are 24 partitions, where the session has 8
+    assert (", 24), REPARTITION_BY_NUM" in plan) == (keys_per_task == 25)
+    want = [r for r in rows if r[0] not in gone] + [(3, -1), (3, -1), (5000, -2), (None, -3)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
